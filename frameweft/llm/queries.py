@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .line_hash import repeated_units
+from .suffix_dedup import repeated_passages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that documents repeat, by document."""
+    return repeated_passages(_documents(spark, sf_dir)).withColumnRenamed("other_id", "other_doc_id")
+
+
 def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated line of documents that is removed, with the document that keeps it."""
     return repeated_units(_documents(spark, sf_dir)).withColumnsRenamed({"first_id": "first_doc_id"})
@@ -25,6 +31,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_hash_dedup": op9_line_hash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
