@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .line_hash import repeated_units
+from .minhash_dedup import near_duplicates
 from .suffix_dedup import repeated_passages
 
 
@@ -16,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir)).drop("row_hash")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that documents repeat, by document."""
     return repeated_passages(_documents(spark, sf_dir)).withColumnRenamed("other_id", "other_doc_id")
@@ -31,6 +36,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_hash_dedup": op9_line_hash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
