@@ -21,16 +21,18 @@ class NearConfig:
     """similar: links have at least this share of the union in common, in percent.
 
     With bands of rows minima each, a pair at 85 % is missed with probability
-    (1 - .85**rows)**bands: 4e-7 as given. A pair goes on to the comparison of
-    whole sets if at least floor of all minima agree, five standard deviations
-    below 85 %.
+    (1 - .85**rows)**bands: 4e-7 as given. bins: minima of the second signature,
+    one for each part of the hashes' range; what falls short of similar there by
+    more than sigmas standard deviations isn't compared any further. block: the
+    rows of a bucket that are compared with one another at a time.
     """
 
     shingle: int = 3
     similar: int = 85
     bands: int = 25
     rows: int = 5
-    floor: float = 0.69
+    bins: int = 1024
+    sigmas: float = 6.0
     block: int = 512
     seed: int = 20
 
@@ -59,7 +61,7 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _signatures(cfg: NearConfig):
-    """id, row_hash, size of the set, its digest, band keys, and a byte of each minimum."""
+    """id, row_hash, size of the set, its digest, and a key for each band of its minima."""
     a, b = cfg.hashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,35 +88,76 @@ def _signatures(cfg: NearConfig):
                     for j in range(band * cfg.rows, (band + 1) * cfg.rows):
                         key = mix(key * U64(0x9E3779B97F4A7C15) ^ minima[j])
                     keys[:, band] = key
-                bytes_ = np.ascontiguousarray((mix(minima) & U64(255)).astype(np.uint8).T)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, cfg.bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())), pa.array([r.tobytes() for r in bytes_], pa.binary())],
-                    ["id", "row_hash", "n", "high", "low", "bands", "signature"],
+                    [rows.column(0), rows.column(2), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, cfg.bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))],
+                    ["id", "row_hash", "n", "high", "low", "bands"],
                 )
 
     return run
 
 
-def _agreeing(cfg: NearConfig):
-    """Of rows sorted by (key, lo, hi): pairs of different components whose minima agree often enough.
+def _sketches(cfg: NearConfig):
+    """id, size of the set, and a byte of the least hash in each of cfg.bins parts of the range; 0: none."""
+    shift = U64(64 - (cfg.bins - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, at in slices(batch, "text"):
+                marks, offsets = shingles(data, at, cfg.shingle)
+                sizes, out = [], []
+                for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    own = np.unique(marks[lo:hi])
+                    part = (own >> shift).astype(np.int64)
+                    least = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(own) else np.zeros(0, np.int64)
+                    sketch = np.zeros(cfg.bins, np.uint8)
+                    sketch[part[least]] = (mix(own[least]) % U64(255)).astype(np.uint8) + 1
+                    sizes.append(len(own))
+                    out.append(sketch.tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["id", "n", "sketch"])
 
-    A group is one bucket or a pair of its blocks, of about 2 * cfg.block rows at most.
+    return run
+
+
+_GROUP = ["key", "lo", "hi"]
+_DEALT = [*_GROUP, "id", "part", "own", "n", "sketch", "bands", "pivot", "apart"]
+
+
+def _agreeing(cfg: NearConfig):
+    """Of rows sorted by (key, lo, hi): pairs of different components that may be similar enough.
+
+    A group is one bucket or two of its blocks, of about 2 * cfg.block rows at
+    most. A pair counts in the first of the buckets that hold both. It is ruled
+    out by the sizes of the sets; by their sketches, where agreement over the
+    bins that either fills is an unbiased estimate from a sample of the union
+    without replacement; or by the distances from a pivot that both were
+    compared with, as these obey the triangle inequality.
     """
+    limit = cfg.similar / 100
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids = np.array([r[3] for r in rows], np.int64)
-        parts = np.array([r[4] for r in rows], np.int64)
-        of_block = np.array([r[5] for r in rows], np.int64)
-        marks = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-        lo, hi = rows[0][1], rows[0][2]
-        need = int(np.ceil(cfg.floor * marks.shape[1]))
-        left, right = np.flatnonzero(of_block == lo), np.flatnonzero(of_block == hi)
+        cols = dict(zip(_DEALT, zip(*rows, strict=True), strict=True))
+        key, lo, hi = (cols[k][0] for k in _GROUP)
+        ids, parts, own, n = (np.array(cols[k], np.int64) for k in ("id", "part", "own", "n"))
+        pivot, apart = np.array([x or 0 for x in cols["pivot"]], np.int64), np.array([np.nan if x is None else x for x in cols["apart"]])
+        sketch = np.frombuffer(b"".join(cols["sketch"]), np.uint8).reshape(len(rows), -1)
+        bands = np.array(cols["bands"], np.int64)
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         for i in left.tolist():
             other = right[(parts[right] != parts[i]) & ((ids[right] > ids[i]) | (lo != hi))]
-            if len(other):
-                hits = other[(marks[other] == marks[i]).sum(axis=1) >= need]
-                for j in hits.tolist():
-                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+            other = other[100 * np.minimum(n[other], n[i]) >= cfg.similar * np.maximum(n[other], n[i])]
+            far = (pivot[other] == pivot[i]) & (np.abs(apart[other] - apart[i]) > 1 - limit + 1e-9)
+            other = other[~far]
+            if not len(other):
+                continue
+            filled = ((sketch[other] | sketch[i]) != 0).sum(axis=1)
+            alike = ((sketch[other] == sketch[i]) & (sketch[i] != 0)).sum(axis=1)
+            union = np.maximum((n[other] + n[i]) / (1 + limit), filled)
+            slack = cfg.sigmas * np.sqrt(limit * (1 - limit) / filled * np.maximum(1 - filled / union, 0)) + 2 / filled
+            other = other[alike >= (limit - slack) * filled]
+            same = bands[other] == bands[i]
+            other = other[bands[i][np.argmax(same, axis=1)] == key] if len(other) else other
+            for j in other.tolist():
+                yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -138,7 +181,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _confirmed(cfg: NearConfig):
-    """Of rows (a, b, text of a, text of b) those whose whole sets are similar."""
+    """For rows (a, b, text of a, text of b): how far their whole sets are apart, and whether they are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,20 +189,22 @@ def _confirmed(cfg: NearConfig):
                 rows = batch.slice(lo, 64)
                 x, x_at = shingles(*bytes_of(rows.column(2)), cfg.shingle)
                 y, y_at = shingles(*bytes_of(rows.column(3)), cfg.shingle)
-                keep = []
+                apart, linked = [], []
                 for i in range(rows.num_rows):
                     p, q = np.unique(x[x_at[i] : x_at[i + 1]]), np.unique(y[y_at[i] : y_at[i + 1]])
                     both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= cfg.similar * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(keep)), rows.column(1).filter(pa.array(keep))], ["a", "b"])
+                    either = len(p) + len(q) - both
+                    apart.append(1 - both / max(either, 1))
+                    linked.append(both > 0 and 100 * both >= cfg.similar * either)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "apart", "linked"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, cfg: NearConfig, label: str) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, cfg: NearConfig, label: str) -> DataFrame:
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_confirmed(cfg), "a long, b long"), label)
+    return materialize(both.mapInArrow(_confirmed(cfg), "a long, b long, apart double, linked boolean"), label)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg: NearConfig = NearConfig()) -> DataFrame:
@@ -171,12 +216,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     common; component_id is the smallest id that links reach.
 
     Equal sets are one class from the start, by a 128-bit digest, so copies never
-    meet in pairs. Classes fall into buckets by band. First each class is compared
-    with one pivot, the smallest id of the bucket that it shares most bands with;
-    then, among buckets that still hold several components, classes of different
-    components whose minima agree often enough are compared, in blocks of rows so
-    that no task holds a whole bucket. Comparisons are on whole sets. Components
-    join by large-star and small-star steps after either round.
+    meet in pairs. Classes fall into buckets by band. A bucket's pivot is the class
+    whose buckets are largest, which the original of many copies tends to be.
+    First each class is compared with the pivot that it shares most bands with;
+    then, in buckets that still hold several components, classes of different
+    components, in blocks of rows so that no task holds a whole bucket. There a
+    signature rules out what can't be similar, see _agreeing(). What it leaves is
+    compared on whole sets. Components join by large-star and small-star steps
+    after either round.
 
     Null and empty texts, and texts of white space only, have an empty set and
     are linked with nothing. Rows with a null id aren't linked either: their
@@ -185,32 +232,36 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     An empty table gives an empty result; extra columns aren't read.
     """
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("row_hash"))
-    schema = "id long, row_hash long, n long, high long, low long, bands array<long>, signature binary"
-    signed = materialize(source.mapInArrow(_signatures(cfg), schema), "signatures")
-    taking_part = signed.where("n > 0 and id is not null")
-    classes = taking_part.groupBy("high", "low").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
-    classes = materialize(classes, "classes")
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = materialize(banded.join(buckets, "key"), "members")
-    texts = materialize(source.join(members.select("id").distinct(), "id").select("id", "text", "row_hash").join(_representatives(taking_part), ["id", "row_hash"], "left_semi"), "texts")
-
-    shared = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    signed = materialize(source.mapInArrow(_signatures(cfg), "id long, row_hash long, n long, high long, low long, bands array<long>"), "signatures")
+    classes = signed.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min(F.struct("id", "row_hash")).alias("best"), F.any_value("bands").alias("bands"))
+    classes = materialize(classes.select("high", "low", "best.id", "best.row_hash", "bands"), "classes")
+    banded = classes.select("id", "row_hash", F.explode("bands").alias("key"))
+    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    members = materialize(banded.join(sizes, "key"), "members")
+    texts = materialize(source.join(members.select("id", "row_hash").distinct(), ["id", "row_hash"]).select("id", "text").dropDuplicates(["id"]), "texts")
+
+    degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    pivots = materialize(members.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", F.bitwise_not("id"))).alias("pivot")), "pivots")
+    shared = members.join(pivots, "key").where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
     best = shared.groupBy("id").agg(F.max_by("pivot", F.struct("bands", F.bitwise_not("pivot"))).alias("pivot"))
-    links = _links(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts, cfg, "first-links")
+    first = _compared(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts, cfg, "first-pairs")
+    links = first.where("linked").select("a", "b")
     parts = materialize(connected_components(links), "components")
 
-    placed = materialize(members.join(parts, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("part")), "placed")
+    placed = materialize(members.select("key", "id", "size").join(parts, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("part")), "placed")
     mixed = materialize(placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key"), "mixed")
+    unsettled = materialize(placed.join(mixed, "key"), "unsettled")
+    from_pivot = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "apart").unionByName(first.select(F.col("b").alias("id"), F.col("b").alias("pivot"), F.lit(0.0).alias("apart")).distinct())
+    # a pivot of others may have a pivot of its own; one of the two will do
+    from_pivot = from_pivot.groupBy("id").agg(F.min_by(F.struct("pivot", "apart"), F.struct("apart", "pivot")).alias("p")).select("id", "p.pivot", "p.apart")
+    sketched = texts.join(unsettled.select("id").distinct(), "id").select("id", "text").mapInArrow(_sketches(cfg), "id long, n long, sketch binary")
+    sketched = materialize(sketched.join(classes.select("id", "bands"), "id").join(from_pivot, "id", "left"), "sketches")
     blocks = F.ceil(F.col("size") / cfg.block).cast("int")
-    dealt = placed.join(mixed, "key", "left_semi").select("key", "id", "part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
-    dealt = dealt.join(classes.select("id", "signature"), "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "part", "own", "signature")
-    group = ["key", "lo", "hi"]
-    more = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_agreeing(cfg), "a long, b long").distinct()
-    more_links = _links(more, texts, cfg, "more-links")
-    every = links.unionByName(more_links)
-    parts = materialize(connected_components(every), "components")
+    dealt = unsettled.select("key", "id", "part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "part", "own").join(sketched, "id").select(*_DEALT)
+    more = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_agreeing(cfg), "a long, b long")
+    second = _compared(more, texts, cfg, "second-pairs")
+    parts = materialize(connected_components(links.unionByName(second.where("linked").select("a", "b"))), "components")
 
     named = materialize(classes.select("high", "low", "id").join(parts, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component_id")), "named")
     out = signed.select("id", "row_hash", F.col("n").alias("n_shingles"), "high", "low").join(named, ["high", "low"], "left")
@@ -218,12 +269,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(F.coalesce(component, "id")).alias("kept"), "row_hash")
 
 
-def _representatives(signed: DataFrame) -> DataFrame:
-    """id and row_hash of one row for each class: the row that its id stands for."""
-    best = F.min(F.struct("id", "row_hash"))
-    return signed.groupBy("high", "low").agg(best.alias("best")).select("best.id", "best.row_hash")
-
-
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg: NearConfig = NearConfig()) -> DataFrame:
     """docs with one document of each component, with all columns; rows with a null id stay."""
     gone = near_duplicates(docs, id, text, cfg).where("not kept").select(F.col(id).alias("_gone_id"), F.col("row_hash").alias("_gone_hash"))
