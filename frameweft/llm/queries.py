@@ -7,20 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import round_trip_digests
 from .exact_dedup import exact_duplicates
 from .line_hash import repeated_units
 from .minhash_dedup import near_duplicates
+from .packing import packed
 from .suffix_dedup import repeated_passages
+from .tokenizer_files import path_of
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(_documents(spark, sf_dir), path_of(TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).drop("row_hash")
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_documents(spark, sf_dir), path_of(TOKENIZER))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that documents repeat, by document."""
     return repeated_passages(_documents(spark, sf_dir)).withColumnRenamed("other_id", "other_doc_id")
@@ -36,7 +50,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_hash_dedup": op9_line_hash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
