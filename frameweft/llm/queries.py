@@ -12,8 +12,10 @@ from .exact_dedup import exact_duplicates
 from .line_hash import repeated_units
 from .minhash_dedup import near_duplicates
 from .packing import packed
+from .secrets import secret_spans
 from .suffix_dedup import repeated_passages
 from .tokenizer_files import path_of
+from .toxicity import toxic_scores
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +24,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_scores(_documents(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_toxic").alias("rejected"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed(_documents(spark, sf_dir), path_of(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,6 +39,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).drop("row_hash")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("_spans", lambda s: s["kind"] != "model")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("_spans").alias("spans"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_documents(spark, sf_dir), path_of(TOKENIZER))
 
@@ -50,8 +66,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_hash_dedup": op9_line_hash_dedup,
