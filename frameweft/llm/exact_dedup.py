@@ -72,7 +72,8 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", di
     shuffle as one row per task. Then the texts of groups of several rows, dealt
     out by digest and salt, give each group's least and greatest bytes: where
     these differ the digest has collided, and its rows are grouped by the whole
-    bytes instead.
+    bytes instead. The table of such groups is written before rows join it, so
+    that both sides come from a shuffle and Spark can split a frequent digest.
 
     A null text counts as empty, and empty texts form one group like any other.
     A null id keeps its row in its group, but loses every tie; a group of only
@@ -82,18 +83,20 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", di
     """
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("row_hash"))
     rows = materialize(source.mapInArrow(_keys(digest), "id long, row_hash long, digest binary, chars long, text_sha256 string"), "digests")
-    groups = _keepers(rows, "digest")
-    several = groups.where("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    groups = materialize(_keepers(rows, "digest").where("group_size > 1"), "groups")
+    several = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = source.mapInArrow(_texts(digest), "id long, row_hash long, digest binary, salt int, body binary")
-    compared = texts.join(several, ["digest", "salt"]).groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    compared = texts.join(several.hint("merge"), ["digest", "salt"]).groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"))
     collided = materialize(compared.where("least != most").select("digest"), "collided")
-    out = rows.join(groups, "digest")
+    out = rows.join(groups, "digest", "left")
     if not collided.isEmpty():
         apart = _by_bytes(source, collided, digest)
         out = out.join(collided, "digest", "left_anti").select(apart.columns).unionByName(apart)
     else:
         release(collided)
-    return out.select(F.col("id").alias(id), "keep_id", "group_size", F.expr("id <=> keep_id").alias("kept"), "text_sha256", "row_hash")
+    alone = F.col("group_size").isNull()
+    keep_id, group_size = F.when(alone, F.col("id")).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1).cast("long"))
+    return out.select(F.col("id").alias(id), keep_id.alias("keep_id"), group_size.alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), "text_sha256", "row_hash")
 
 
 def _by_bytes(source: DataFrame, collided: DataFrame, digest: Digest) -> DataFrame:
