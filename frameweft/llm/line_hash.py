@@ -58,7 +58,8 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
 
     Digests of 128 bits are aggregated on the map side, so a line that a third of
     all texts hold costs a row per task; the join that follows has one row per
-    digest on one side, and its other side is split where a digest is frequent.
+    digest on one side, and its other side is split where a digest is frequent
+    (both sides come from a shuffle, as that table is written first).
 
     A null or empty text has no units. Texts with a null id are left alone, as
     nothing could name what is removed. Rows that repeat an id are further
@@ -69,7 +70,8 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     units = materialize(source.mapInArrow(_units(min_words, separator), SCHEMA), "units")
     first = F.min(F.struct("id", "unit_no"))
     groups = units.groupBy("high", "low").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    found = units.join(groups.select("high", "low", F.col("first.id").alias("first_id"), F.col("first.unit_no").alias("first_unit"), "copies"), ["high", "low"])
+    groups = materialize(groups.select("high", "low", F.col("first.id").alias("first_id"), F.col("first.unit_no").alias("first_unit"), "copies"), "repeated")
+    found = units.join(groups, ["high", "low"])
     return found.where("id != first_id or unit_no != first_unit").select(F.col("id").alias(id), "unit_no", "start", "end", "n_words", "first_id", "first_unit", "copies")
 
 
