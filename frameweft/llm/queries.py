@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
 from .exact_dedup import exact_duplicates
+from .hnsw import nearest
 from .line_hash import repeated_units
 from .minhash_dedup import near_duplicates
 from .packing import packed
@@ -35,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).drop("row_hash")
 
@@ -68,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_hnsw_search": op4_hnsw_search,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
