@@ -1,4 +1,58 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""documents to packed sequences: toxicity, exact dedup, near-dedup, secrets, packing."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frameweft.llm.exact_dedup import drop_exact_duplicates
+from frameweft.llm.minhash_dedup import drop_near_duplicates
+from frameweft.llm.packing import packed
+from frameweft.llm.secrets import redacted
+from frameweft.llm.shared import materialize
+from frameweft.llm.tokenizer_files import path_of
+from frameweft.llm.toxicity import toxic_scores
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects. It is fitted on labelled rows of docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxic_scores(docs, labels).where("not _toxic").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one of the documents with equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of similar ones."""
+    return drop_near_duplicates(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets, and counts the characters of what that leaves."""
+    return redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences, with their token ids."""
+    return packed(docs, path_of("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
+
+#: A fitted classifier and BPE have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES on documents, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

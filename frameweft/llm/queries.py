@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
 from .exact_dedup import exact_duplicates
+from .fuzzy_lines import fuzzy_lines
 from .hnsw import nearest
 from .line_hash import repeated_units
 from .minhash_dedup import near_duplicates
@@ -25,6 +26,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of documents, with the first line of its group of similar lines."""
+    return fuzzy_lines(_documents(spark, sf_dir)).withColumnRenamed("first_id", "first_doc_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxic_scores(_documents(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -72,6 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_hnsw_search": op4_hnsw_search,
