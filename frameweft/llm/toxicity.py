@@ -21,7 +21,7 @@ class ToxicConfig:
     the embeddings of itself and of its first so many bytes. recall: of all
     thresholds of a language that keep it, the highest is taken."""
 
-    rows: int = 8000
+    rows: int = 6000
     calibration: int = 4
     buckets: int = 1 << 15
     dims: int = 16
@@ -41,7 +41,7 @@ def tokens(data: np.ndarray, at: np.ndarray, cfg: ToxicConfig) -> tuple[np.ndarr
     """
     data = LOWER[data]
     starts, ends, of_text = split_words(data, at, NON_LETTER)
-    out = np.empty((len(starts), 1 + len(cfg.prefixes)), np.int32)
+    out = np.empty((len(starts), 1 + len(cfg.prefixes)), np.uint16 if cfg.buckets <= 1 << 16 else np.int32)
     out[:, 0] = hash_words(data, starts, ends) % U64(cfg.buckets)
     for i, n in enumerate(cfg.prefixes):
         out[:, i + 1] = (hash_words(data, starts, np.minimum(ends, starts + n)) ^ U64(n * 0x9E37)) % U64(cfg.buckets)
@@ -113,7 +113,10 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], cfg: Toxic
         share = float(np.clip(y.mean() if n else 0.0, 0.01, 0.99))
         model.out[:], model.base, model.scale, model.shift = 0, np.float32(0), 1.0, float(np.log(share / (1 - share)))
         return model
-    words, of_text = tokens(*bytes_of(texts), cfg)
+    parts = [tokens(*bytes_of(texts.slice(i, 256)), cfg) for i in range(0, n, 256)]  # keeps what hashing needs small
+    words = np.concatenate([w for w, _ in parts])
+    of_text = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
+    del parts
     held = np.arange(n) % cfg.calibration == 0 if n >= 4 * cfg.calibration else np.zeros(n, bool)
     train = np.flatnonzero(~held)
     if y[train].min() == y[train].max():
@@ -209,7 +212,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig, id: str, text:
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1) and pmod(crc32(cast(id as string)), 5) <> 0")
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(cfg.rows)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null").join(F.broadcast(chosen), "id")
-    table = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * cfg.rows).toArrow()
+    table = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(cfg.rows).toArrow()
     return fit(table.column("text").combine_chunks(), table.column("label").to_numpy(), table.column("lang").to_pylist(), cfg)
 
 
@@ -217,7 +220,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicCon
     """docs with two further columns: _score (0 to 1, higher: more likely toxic) and _toxic.
 
     The model is fitted on the driver, on cfg.rows labelled documents at most, of
-    ids whose crc32 as text isn't divisible by 5; those are 8,000 ids, the only
+    ids whose crc32 as text isn't divisible by 5; those are 6,000 ids, the only
     thing that is broadcast beside the weights of a few megabytes. It sees words
     of the text only. _toxic holds the score against the threshold of the row's
     language, or against 0.5 if that is null or had no labelled documents.
