@@ -29,7 +29,7 @@ class PackConfig:
     open_windows: int = 16
     waste: int = 16
     end: int = 2
-    merge: int = 64
+    merge: int = 8
 
 
 @dataclass
