@@ -220,7 +220,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     compared as they are. Each repeat of min_words words or more is found. It is
     covered up to its ends if the occurrences that share an end agree beyond it
     with a neighbour in the sorted order; else up to WINDOW - 1 words of an end may
-    be left. What is covered always is a repeat of min_words - WINDOW + 1 words or more.
+    be left. What is covered always is a repeat of min_words - WINDOW + 1 words or more,
+    and all such that are found are returned: what is left of a longer one may be as short.
     A passage splits into parts where the earliest occurrence changes: kept
     marks parts of which this is the earliest (id, position), the others may go.
     other_id is a text that shares the part. start and end are code points, end
@@ -244,7 +245,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     marks = found.where("not edge").unionByName(edges).groupBy("id").agg(F.collect_list(F.struct("pos", "key", "first", "partner")).alias("marks"))
     runs = materialize(source.join(marks, "id").select("id", "text", "marks").mapInArrow(_runs(prefix, WINDOW - 1), _RUNS), "runs")
     out = runs.join(_extended(runs, "left"), ["id", "word"]).join(_extended(runs, "right"), ["id", "word"])
-    out = out.withColumn("passage_words", F.col("n_words") + F.col("left_more") + F.col("right_more")).where(F.col("passage_words") >= min_words)
+    out = out.withColumn("passage_words", F.col("n_words") + F.col("left_more") + F.col("right_more"))
     out = out.select("*", F.posexplode("parts").alias("no", "part"))
     leftmost, rightmost = F.col("no") == 0, F.col("no") == F.size("parts") - 1
     start = F.when(leftmost, F.expr("left_chars[left_more]")).otherwise(F.col("part.start"))
