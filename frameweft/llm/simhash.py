@@ -1,0 +1,209 @@
+"""Normalised lines and their SimHash, in numpy over batches of whole texts."""
+
+from __future__ import annotations
+
+import sys
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .textops import U64, _powers, char_index, hash_words, mix, slices, split_at
+
+_BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+SCHEMA = "id long, line_no int, high long, low long, n_words int, chars int, simhash long"
+#: A byte's bits, each in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+#: So many bits can be added up in a byte.
+_RUN = 255
+
+
+@cache
+def _no_word() -> np.ndarray:
+    """Whether a code point is neither letter nor digit (Unicode categories L and N)."""
+    return np.array([unicodedata.category(chr(c))[0] not in "LN" for c in range(sys.maxunicode + 1)])
+
+
+def between_words(data: np.ndarray) -> np.ndarray:
+    """The bytes of UTF-8 that belong to no letter or digit."""
+    none = _no_word()
+    out = np.r_[none[:128], np.zeros(128, bool)][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        point = (data[lead] & (0x7F >> size)).astype(np.int64)
+        for k in range(1, 4):
+            more = size > k
+            point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+        off = none[point]
+        for k in range(4):
+            out[lead[off & (size > k)] + k] = True
+    return out
+
+
+def majority(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For words[lo:hi] (adjoining, none empty) the bits that more than half of them have."""
+    runs = -(-(hi - lo) // _RUN)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(lo, runs) + (np.arange(int(runs.sum())) - np.repeat(first, runs)) * _RUN
+    out = np.zeros((len(lo), 8), np.uint8)
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        counts = np.add.reduceat(_SPREAD[parts[:, k]], starts).view(np.uint8).reshape(-1, 8)
+        if len(starts) > len(lo):
+            counts = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * counts.astype(np.int64) > (hi - lo)[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view("<i8").ravel()
+
+
+def _parts(text: pa.Array) -> Iterator[tuple[int, np.ndarray, dict]]:
+    """For runs of whole texts: the first text's number, their lower-case bytes, and per line with words
+    its text (from that number), line_no, words (lo to hi in starts and ends) and digests."""
+    rows_before = 0
+    lower = pa.RecordBatch.from_arrays([pc.utf8_lower(text)], ["text"])
+    for rows, data, at in slices(lower, "text"):
+        starts, ends, of_text = split_at(between_words(data), at)
+        if len(starts):
+            text_no = np.repeat(np.arange(rows.num_rows), np.diff(of_text))
+            newlines = np.flatnonzero(data == 10)
+            before = np.searchsorted(newlines, starts)
+            lo = np.flatnonzero(np.diff(before + text_no, prepend=-1))
+            hi = np.r_[lo[1:], len(starts)]
+            words = hash_words(data, starts, ends)
+            digests = []
+            for base, x in zip(_BASES, (words, mix(words ^ U64(_BASES[1]))), strict=True):
+                up, down = _powers(base, len(words) + 1)
+                total = np.zeros(len(x) + 1, U64)
+                np.cumsum(x * up[: len(x)], out=total[1:])
+                digests.append(mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U64)).view(np.int64))
+            line_no = before[lo] - np.searchsorted(newlines, at[text_no[lo]])
+            yield rows_before, data, {"text": text_no[lo], "line_no": line_no, "lo": lo, "hi": hi, "starts": starts, "ends": ends, "words": words, "high": digests[0], "low": digests[1]}
+        rows_before += rows.num_rows
+
+
+def hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of SCHEMA for each line with words, from (id, text); its 128-bit digest tells normalised lines apart."""
+    for batch in batches:
+        for first, data, x in _parts(batch.column(1)):
+            lo, hi, chars = x["lo"], x["hi"], char_index(data)
+            length = np.add.reduceat(chars[x["ends"]] - chars[x["starts"]], lo) + hi - lo - 1
+            found = [x["line_no"].astype(np.int32), x["high"], x["low"], (hi - lo).astype(np.int32), length.astype(np.int32), majority(x["words"], lo, hi)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + x["text"])), *map(pa.array, found)], ["id", "line_no", "high", "low", "n_words", "chars", "simhash"])
+
+
+def wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class and normalised text for each wanted line of (text, wanted), where wanted lists (line_no, high, low, class)."""
+    for batch in batches:
+        wanted = [{(w["line_no"], w["high"], w["low"]): w["class"] for w in own} for own in batch.column(1).to_pylist()]
+        classes, texts = [], []
+        for first, data, x in _parts(batch.column(0)):
+            for k, place in enumerate(zip(x["line_no"].tolist(), x["high"].tolist(), x["low"].tolist(), strict=True)):
+                cls = wanted[first + x["text"][k]].get(place)
+                if cls is not None:
+                    span = range(x["lo"][k], x["hi"][k])
+                    classes.append(cls)
+                    texts.append(b" ".join(data[x["starts"][w] : x["ends"][w]].tobytes() for w in span).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(texts, pa.string())], ["class", "norm"])
+
+
+def _close(sim: np.ndarray, chars: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, similar: float) -> np.ndarray:
+    """Whether hashes a and b are within the distance, and their lengths allow the edit similarity."""
+    near = np.bitwise_count(sim[a] ^ sim[b]) <= distance
+    return near & (np.minimum(chars[a], chars[b]) >= np.maximum(chars[a], chars[b]) * similar - 1e-6)
+
+
+_SMALL, _WIDE = 64, 1024
+
+
+def with_near(sim: np.ndarray, chars: np.ndarray, key: np.ndarray, distance: int, similar: float, parts: int = 0) -> np.ndarray:
+    """Which members of buckets (runs of equal keys) have another of their bucket near to them.
+
+    Short runs are compared by their distance in the run. A long run is parted
+    anew by each of distance + 1 or more further pieces of the hash, on one of which near
+    members agree; what is still long after two such steps counts as having near ones.
+    """
+    out = np.zeros(len(sim), bool)
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    size = np.diff(cut)
+    end = np.repeat(cut[1:], size)
+    rows = np.flatnonzero(np.repeat(size <= _SMALL, size))
+    for d in range(1, _SMALL):
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        hit = rows[_close(sim, chars, rows, rows + d, distance, similar)]
+        out[hit] = out[hit + d] = True
+    for lo, n in zip(cut[:-1][size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
+        own = np.arange(lo, lo + n)
+        if n <= _WIDE:
+            for b in range(0, n, 256):
+                near = _close(sim, chars, own[b : b + 256, None], own[None, :], distance, similar)
+                near[np.arange(len(near)), np.arange(b, b + len(near))] = False
+                out[own[b : b + 256]] |= near.any(1)
+        elif parts == 2:
+            out[own] = True
+        else:
+            varying = np.bitwise_or.reduce(sim[own] ^ sim[lo])
+            bits = [i for i in range(64) if int(varying) >> i & 1]
+            pieces = [bits[k :: distance + 1] for k in range(distance + 1)]
+            for piece in pieces:
+                mask = U64(sum(1 << i for i in piece))
+                order = own[np.argsort(sim[own] & mask, kind="stable")]
+                out[order] |= with_near(sim[order], chars[order], sim[order] & mask, distance, similar, parts + 1)
+    return out
+
+
+def near_members(masks: list[int], salts: list[int], distance: int, similar: float, most: int = 1 << 18):
+    """From (simhash, tag, chars) in the order of their keys, tag being 16 * class + number of the mask:
+    (key, class, simhash, chars, p) for what has another near to it in its bucket. p is the first such
+    member of the bucket where that is near. At most `most` rows of a bucket are held at once;
+    all of a larger bucket are returned."""
+    mask, salt = np.array(masks, np.int64).view(U64), np.array(salts, np.int64).view(U64)
+
+    def found(sim, cls, chars, key, flagged, pivot):
+        """pivot: key, class, hash and length of a bucket whose rows came in parts."""
+        k = np.flatnonzero(flagged)
+        sim, cls, chars, key = sim[k], cls[k], chars[k], key[k]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(k) else k
+        of = np.repeat(first, np.diff(np.r_[first, len(k)]))
+        p, ps, pc_ = cls[of], sim[of], chars[of]
+        if pivot:
+            p, ps, pc_ = (np.full(len(k), v, t.dtype) for v, t in zip(pivot[1:], (cls, sim, chars), strict=True))
+        near = (np.bitwise_count(sim ^ ps) <= distance) & (np.minimum(chars, pc_) >= np.maximum(chars, pc_) * similar - 1e-6) & (cls != p)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.array(sim.view(np.int64)), pa.array(chars), pa.array(p, mask=~near)], ["key", "class", "simhash", "chars", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pivot = None, None
+        for batch in _and_end(batches):
+            if batch is not None:
+                sim, tag, chars = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                sim = sim.view(U64)
+                new = (sim, tag >> 4, chars, (sim & mask[tag & 15]) ^ salt[tag & 15])
+                held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            if held is None or not len(held[0]):
+                continue
+            key = held[3]
+            last = len(key) if batch is None else int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+            if pivot is not None and (key[0] == pivot[0]):
+                own = int(np.argmax(key != key[0])) or len(key)
+                yield found(*(x[:own] for x in held), np.ones(own, bool), pivot)
+                held = tuple(x[own:] for x in held)
+                last -= own
+            if last > 0:
+                done = tuple(x[:last] for x in held)
+                yield found(*done, with_near(done[0], done[2], done[3], distance, similar), None)
+                held = tuple(x[last:] for x in held)
+            if len(held[0]) > most:
+                pivot = (held[3][0], held[1][0], held[0][0], held[2][0])
+                yield found(*held, np.ones(len(held[0]), bool), pivot)
+                held = None
+
+    return run
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None

@@ -64,11 +64,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator
 
 def split_words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the offsets of each text's words; no word crosses two texts."""
-    n = len(data)
+    return split_at(separator[data], at)
+
+
+def split_at(between: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """split_words() for bytes that are marked as lying between words."""
+    n = len(between)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     off = np.ones(n + 2, dtype=bool)
-    off[1:-1] = separator[data]
+    off[1:-1] = between
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
     inside = ~off[1:-1]
