@@ -204,6 +204,55 @@ def near_members(masks: list[int], salts: list[int], distance: int, similar: flo
     return run
 
 
+def _shared(x: str, y: str) -> int:
+    """Characters that both begin with."""
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether most edits or fewer turn x into y.
+
+    Columns of the table of distances are kept as their steps up and down, a bit
+    each in one integer; it ends once the rest can't make up for the distance.
+    """
+    if abs(len(x) - len(y)) > most:
+        return False
+    k = _shared(x, y)
+    x, y = x[k:], y[k:]
+    k = _shared(x[::-1], y[::-1])
+    x, y = sorted((x[: len(x) - k], y[: len(y) - k]), key=len)
+    if not x:
+        return len(y) <= most
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    end, up, down, edits, left = 1 << (len(x) - 1), whole, 0, len(x), len(y)
+    for c in y:
+        same = places.get(c, 0)
+        flat = same | down
+        slant = (((same & up) + up) ^ up) | same
+        right, back = down | ~(slant | up) & whole, up & slant
+        edits += 1 if right & end else -1 if back & end else 0
+        left -= 1
+        if edits - left > most:
+            return False
+        right, back = (right << 1 | 1) & whole, back << 1 & whole
+        up, down = back | ~(flat | right) & whole, right & flat
+    return edits <= most
+
+
+def similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a and b of the rows (a, b, x, y, allowed) in which allowed edits turn text x into text y."""
+    for batch in batches:
+        keep = [within(*row) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
