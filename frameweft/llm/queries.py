@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
 from .exact_dedup import exact_duplicates
-from .fuzzy_lines import fuzzy_lines
+from .fuzzy_lines import LineConfig, fuzzy_lines
 from .hnsw import nearest
 from .line_hash import repeated_units
 from .minhash_dedup import near_duplicates
@@ -27,8 +27,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of documents, with the first line of its group of similar lines."""
-    return fuzzy_lines(_documents(spark, sf_dir)).withColumnRenamed("first_id", "first_doc_id")
+    """Every line of documents, with the first line of its group of similar lines, by edit similarity alone."""
+    return fuzzy_lines(_documents(spark, sf_dir), cfg=LineConfig(distance=None)).withColumnRenamed("first_id", "first_doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

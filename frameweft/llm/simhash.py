@@ -1,4 +1,4 @@
-"""Normalised lines and their SimHash, in numpy over batches of whole texts."""
+"""Normalised lines, their SimHash and the buckets in which similar ones meet, in numpy over batches of whole texts."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from .textops import U64, _powers, char_index, hash_words, mix, slices, split_at
 
 _BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-SCHEMA = "id long, line_no int, high long, low long, n_words int, chars int, simhash long"
+SCHEMA = "id long, line_no int, high long, low long, n_words int, chars int"
 #: A byte's bits, each in a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 #: So many bits can be added up in a byte.
@@ -84,14 +84,20 @@ def _parts(text: pa.Array) -> Iterator[tuple[int, np.ndarray, dict]]:
         rows_before += rows.num_rows
 
 
-def hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of SCHEMA for each line with words, from (id, text); its 128-bit digest tells normalised lines apart."""
-    for batch in batches:
-        for first, data, x in _parts(batch.column(1)):
-            lo, hi, chars = x["lo"], x["hi"], char_index(data)
-            length = np.add.reduceat(chars[x["ends"]] - chars[x["starts"]], lo) + hi - lo - 1
-            found = [x["line_no"].astype(np.int32), x["high"], x["low"], (hi - lo).astype(np.int32), length.astype(np.int32), majority(x["words"], lo, hi)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + x["text"])), *map(pa.array, found)], ["id", "line_no", "high", "low", "n_words", "chars", "simhash"])
+def hashed_lines(simhash: bool):
+    """From (id, text) a row of SCHEMA for each line with words, and its SimHash if asked for; its 128-bit digest tells normalised lines apart."""
+    names = ["id", "line_no", "high", "low", "n_words", "chars", "simhash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, x in _parts(batch.column(1)):
+                lo, hi, chars = x["lo"], x["hi"], char_index(data)
+                length = np.add.reduceat(chars[x["ends"]] - chars[x["starts"]], lo) + hi - lo - 1
+                found = [x["line_no"].astype(np.int32), x["high"], x["low"], (hi - lo).astype(np.int32), length.astype(np.int32)]
+                found += [majority(x["words"], lo, hi)] if simhash else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + x["text"])), *map(pa.array, found)], names[: 1 + len(found)])
+
+    return run
 
 
 def wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +210,98 @@ def near_members(masks: list[int], salts: list[int], distance: int, similar: flo
     return run
 
 
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+
+
+def _minima(marks: np.ndarray, at: np.ndarray, bands: int, rows: int, rng: np.random.Generator, salt: int) -> np.ndarray:
+    """For the sets that begin at `at` in marks (adjoining, none empty), a key for each band of minima; a column each."""
+    low = mix(marks) & U64(0xFFFFFFFF)
+    out = np.empty((len(at), bands), np.int64)
+    for band in range(bands):
+        key = np.full(len(at), salt + band + 1, U64)
+        for _ in range(rows):
+            a, b = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+            x = low * (a * U64(2) + U64(1)) + b
+            key = mix(key * _GOLDEN ^ np.minimum.reduceat(x, at) >> U64(32))
+        out[:, band] = key.view(np.int64)
+    return out
+
+
+def banded_lines(bands: int, rows: int, short: int, short_rows: int, seed: int, most: int = 1 << 18):
+    """From (text): (key, class, chars) for each band of minima over a line's words, and for lines of fewer than
+    short characters over their runs of three characters too. A task repeats a class only after `most` others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, data, x in _parts(batch.column(0)):
+                lo, hi, high = x["lo"], x["hi"], x["high"]
+                new = []
+                for k, cls in enumerate(high.tolist()):
+                    if cls not in seen:
+                        seen.add(cls)
+                        new.append(k)
+                if len(seen) > most:
+                    seen = set()
+                if not new:
+                    continue
+                new = np.array(new)
+                chars = char_index(data)
+                length = (np.add.reduceat(chars[x["ends"]] - chars[x["starts"]], lo) + hi - lo - 1)[new].astype(np.int32)
+                keys = _minima(x["words"], lo, bands, rows, np.random.default_rng(seed), 0)[new]
+                yield _keyed(keys, high[new], length)
+                few = np.flatnonzero(length < short)
+                if len(few):
+                    grams, at = [], []
+                    for k in new[few].tolist():
+                        norm = "  " + b" ".join(data[x["starts"][w] : x["ends"][w]].tobytes() for w in range(lo[k], hi[k])).decode() + "  "
+                        at.append(len(grams))
+                        grams += {ord(p) << 42 | ord(q) << 21 | ord(r) for p, q, r in zip(norm, norm[1:], norm[2:])}
+                    keys = _minima(np.array(grams, U64), np.array(at), bands, short_rows, np.random.default_rng(seed + 1), bands)
+                    yield _keyed(keys, high[new[few]], length[few])
+
+    return run
+
+
+def _keyed(keys: np.ndarray, classes: np.ndarray, chars: np.ndarray) -> pa.RecordBatch:
+    n = keys.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(classes, n)), pa.array(np.repeat(chars, n))], ["key", "class", "chars"])
+
+
+def met(similar: float):
+    """From (key, class, chars) in this order: (key, class, chars, p) for the classes of buckets that hold several,
+    once each. p is the first class of the bucket, where that is another and the lengths allow the edit similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None  # the bucket that goes on: its first row, and whether that is out; its last class
+        out = False
+        for batch in batches:
+            key, cls, chars = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if first is not None:
+                key, cls, chars = (np.r_[np.array(v, t.dtype), t] for v, t in zip(((first[0],) * 2, (first[1], last), (first[2],) * 2), (key, cls, chars), strict=True))
+            if not len(key):
+                continue
+            start = np.r_[True, key[1:] != key[:-1]]
+            fresh = start | np.r_[True, cls[1:] != cls[:-1]]
+            if first is not None:
+                fresh[1] = False
+            at = np.flatnonzero(start)
+            of = np.repeat(at, np.diff(np.r_[at, len(key)]))
+            several = np.add.reduceat(fresh.astype(np.int64), at)[np.cumsum(start) - 1] > 1
+            keep = fresh & several
+            if first is not None and out:
+                keep[0] = False
+            began = int(at[-1])
+            out = bool(several[-1]) or (out and began == 0)
+            first, last = (key[began], cls[began], chars[began]), cls[-1]
+            k = np.flatnonzero(keep)
+            p, n, m = cls[of[k]], chars[k], chars[of[k]]
+            fits = (p != cls[k]) & (np.minimum(n, m) >= np.maximum(n, m) * similar - 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(cls[k]), pa.array(n), pa.array(p, mask=~fits)], ["key", "class", "chars", "p"])
+
+    return run
+
+
 def _shared(x: str, y: str) -> int:
     """Characters that both begin with."""
     lo, hi = 0, min(len(x), len(y))
