@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from frameweft.llm.queries import op1_fuzzy_lines
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -25,3 +26,15 @@ def test_fuzzy_lines_that_differ_in_a_word(spark, tmp_path):
     found = {r.doc_id: r.first_doc_id for r in op1_fuzzy_lines(spark, str(tmp_path)).collect()}
     assert sum(found[1000 + i] == i for i in range(200)) >= 196 and all(found[i] == i for i in range(200))
     assert found[5001] == 5000
+
+
+def test_pipeline_drops_near_duplicates_of_five_words(spark):
+    """0.8 of the union of 5-word shingles links: a copy with 22 % appended goes, one with scattered edits stays."""
+    rng = random.Random(13)
+    base, other = words(rng, 400).split(" "), words(rng, 400).split(" ")
+    edited = other[:]
+    for i in range(20, 400, 38):
+        edited[i] = "x" + edited[i]
+    texts = [" ".join(base), " ".join(base) + " " + words(rng, 88), " ".join(other), " ".join(edited)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
