@@ -26,8 +26,6 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -39,7 +37,7 @@ class SecretConfig:
     before, inside, after: characters of a window. recall: what the threshold must
     keep of the labelled secrets that fitting didn't see; it is the highest such."""
 
-    findings: int = 4000
+    findings: int = 6000
     before: int = 20
     inside: int = 32
     after: int = 8
@@ -55,8 +53,9 @@ def labelled_findings(cfg: SecretConfig) -> list[tuple[str, int, int, int]]:
     """Made-up texts with the place of a candidate and whether it is a secret, from a fixed seed.
 
     Secrets are random strings of usual alphabets and lengths, with and without a
-    word before them that says so. The others are what else has digits in running
-    text: numbers, dates, addresses, versions, paths, file names, compound words.
+    word before them that says so, and with or without digits. The others are what
+    else is long in running text: numbers, dates, addresses, versions, paths, file
+    names, rules of one sign, long and compound words, names in mixed case.
     """
     rng = random.Random(cfg.seed)
     pick = lambda letters, lo, hi: "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
@@ -64,9 +63,17 @@ def labelled_findings(cfg: SecretConfig) -> list[tuple[str, int, int, int]]:
     mixed, lower = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
 
     def secret() -> str:
-        return rng.choice((lambda: pick(mixed, 20, 48), lambda: pick(lower, 20, 40), lambda: pick(mixed + "+/", 24, 64) + rng.choice(("", "=", "==")), lambda: pick(string.ascii_uppercase + string.digits, 16, 32), lambda: pick("0123456789abcdef", 20, 64), lambda: rng.choice(("sk_live_", "ghp_", "xox-", "key-", "pk.")) + pick(mixed, 18, 36), lambda: ".".join(pick(mixed + "-_", 16, 30) for _ in range(3))))()
+        return rng.choice((lambda: pick(mixed, 20, 48), lambda: pick(string.ascii_letters, 16, 40) + pick(string.digits, 0, 1), lambda: pick(lower, 20, 40), lambda: pick(mixed + "+/", 24, 64) + rng.choice(("", "=", "==")), lambda: pick(string.ascii_uppercase + string.digits, 16, 32), lambda: pick("0123456789abcdef", 20, 64), lambda: rng.choice(("sk_live_", "ghp_", "xox-", "key-", "pk.")) + pick(mixed, 18, 36), lambda: ".".join(pick(mixed + "-_", 16, 30) for _ in range(3))))()
+
+    syllables = "an ar ba ber con da de di do el en er es fa ge gen he ho in ing is ka ken la le li lo ma men mi mo na ne ni nis ob on or pe pre ra re ri ro sa schaft se si so ta te ter ti tion to tra un ung ver vi zu".split()
+    spoken = lambda lo, hi: "".join(rng.choice(syllables) for _ in range(rng.randint(lo, hi)))
+
+    def plain() -> str:
+        return rng.choice((lambda: spoken(7, 12), lambda: spoken(7, 10).capitalize(), lambda: spoken(7, 10).upper(), lambda: "-".join(spoken(2, 4) for _ in range(4)), lambda: "_".join(spoken(2, 4) for _ in range(4)), lambda: "".join(spoken(2, 3).capitalize() for _ in range(4)), lambda: spoken(2, 3) + "".join(spoken(2, 3).capitalize() for _ in range(3)), lambda: "/".join(spoken(2, 4) for _ in range(4)), lambda: ".".join(spoken(2, 4) for _ in range(4)), lambda: f"www.{spoken(2, 5)}.{spoken(2, 4)}.com/{spoken(2, 4)}", lambda: rng.choice("=-_.+") * rng.randint(16, 60), lambda: spoken(3, 5) + rng.choice(("...", "--", "./")) + spoken(4, 6), lambda: f"{spoken(3, 5)}.{spoken(4, 6)}@"))()
 
     def other() -> str:
+        if rng.random() < 0.5:
+            return plain()
         return rng.choice((lambda: pick(string.digits, 16, 24), lambda: "-".join(pick(string.digits, 3, 5) for _ in range(5)), lambda: ".".join(pick(string.digits, 1, 3) for _ in range(6)), lambda: f"{word()}.{pick(string.digits, 1, 3)}.{word()}.example.com", lambda: "/".join(word() + pick(string.digits, 0, 2) for _ in range(4)), lambda: f"{word()}-{word()}-{word()}-{pick(string.digits, 1, 4)}", lambda: f"{word()}_{word()}_{rng.randint(1990, 2030)}.txt", lambda: f"20{pick(string.digits, 2, 2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}.00.00", lambda: word() + word() + word() + pick(string.digits, 2, 3), lambda: "=" * rng.randint(8, 20) + pick(string.digits, 2, 4) + "-" * 8, lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}-{word()}.{pick(string.digits, 4, 6)}"))()
 
     out = []
@@ -78,7 +85,7 @@ def labelled_findings(cfg: SecretConfig) -> list[tuple[str, int, int, int]]:
         else:
             lead += rng.choice((" ", " ", "\n", ": ", ' "', " ("))
         body = secret() if label else other()
-        if len(body) < 16 or not any(c.isdigit() for c in body):
+        if len(body) < 16:
             body += pick(string.digits, 4, 6) + (pick(mixed, 10, 14) if label else "")
         tail = rng.choice((" ", ". ", '"', "\n", ", ", "")) + " ".join(word() for _ in range(rng.randint(0, 3)))
         out.append((lead + body + tail, len(lead), len(lead) + len(body), label))
@@ -152,11 +159,16 @@ class Network:
 
 @lru_cache(maxsize=2)
 def trained(cfg: SecretConfig) -> Network:
-    """The network for cfg: fitted on three quarters of the labelled findings, with the
-    highest threshold that keeps cfg.recall of the secrets among the others."""
-    rows, labels, of = [], [], []
+    """The network for cfg: fitted on the candidates that scan() finds in three quarters
+    of the labelled findings, with the highest threshold by which scan() keeps cfg.recall
+    of the secrets among the others; those that no candidate covers count as lost, and
+    those that the rules find don't count."""
+    rows, labels, of, known = [], [], [], []
     for i, (text, start, end, label) in enumerate(labelled_findings(cfg)):
-        own = _windows(text, start, end, cfg)
+        base = base_spans(text)
+        own = [w for s, e in _further(text, base) if s < end and start < e for w in _windows(text, s, e, cfg)]
+        if label and i % 8 >= 6 and not _covered(start, end, base):
+            known.append(i)
         rows += own
         labels += [label] * len(own)
         of += [i] * len(own)
@@ -164,9 +176,9 @@ def trained(cfg: SecretConfig) -> Network:
     held = of % 8 >= 6  # both labels alternate
     net = Network(cfg)
     net.fit(rows[~held], labels[~held])
-    best = np.zeros(of.max() + 1)
+    best = np.zeros(max(of.max(), max(known)) + 1)
     np.maximum.at(best, of[held], net.score(rows[held]))
-    secrets = np.sort(best[np.unique(of[held & (labels == 1)])])
+    secrets = np.sort(best[known])
     net.threshold = float(secrets[int((1 - cfg.recall) * len(secrets))])
     return net
 
@@ -192,9 +204,8 @@ def _runs(mask: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.
 def _suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The numbers of the texts that may hold a span, from their bytes: no other text does."""
     places = [_runs(_HEX[data], at, LEAST_HEX)[0]]
-    starts, ends = _runs(_TOKEN[data], at, 16)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    places.append(starts[digits[ends] - digits[starts] >= 2])
+    starts, _ = _runs(_TOKEN[data], at, 16)
+    places.append(starts)
     low, raw = LOWER[data].tobytes(), data.tobytes()
     for where, words in ((low, KEYWORDS), (raw, (b"AKIA",))):
         for w in words:
@@ -206,15 +217,23 @@ def _suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(at, np.concatenate(places), side="right") - 1)
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, sorted by start, cover all from start to end."""
+    for a, _, b in spans:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def _further(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Candidates beside the base spans: 16 or more characters with two digits and a letter at least."""
+    """Candidates: all tokens of 16 or more characters that base spans don't cover whole. An
+    assignment takes all of a token from its word on, so what is before it stands alone."""
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        body = m.group()
-        if sum(c.isdigit() for c in body) >= 2 and any(c.isalpha() for c in body) and not any(a < e and s < b for a, _, b in base):
-            if not (e < len(text) and text[e] == "@") and not (s and text[s - 1] == "@"):
-                out.append((s, e))
+        e = min([e, *(a for a, k, b in base if k == 0 and a < e and s < b)])
+        if e - s >= 16 and not _covered(s, e, base):
+            out.append((s, e))
     return out
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from frameweft.llm import secrets
 from frameweft.llm.queries import op1_fuzzy_lines
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -38,3 +39,16 @@ def test_pipeline_drops_near_duplicates_of_five_words(spark):
     texts = [" ".join(base), " ".join(base) + " " + words(rng, 88), " ".join(other), " ".join(edited)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+
+
+def test_secrets_with_few_digits_are_found():
+    """Random strings with no digit or one are scored, and a token with a run of hex digits in it is masked whole."""
+    rng = random.Random(14)
+    letters = LETTERS + LETTERS.upper()
+    bodies = ["".join(rng.choice(letters) for _ in range(rng.randint(22, 36))) + rng.choice(("", "7")) for _ in range(200)]
+    found = secrets.scan([f"{words(rng, 3)} ghp_{b} {words(rng, 2)}" for b in bodies])
+    assert sum(bool(f) for f in found) > 180
+    token = "Zq" + "0f3a91" * 4 + "XwKpTzRvLmQb"
+    assert any(s == 4 and e == 4 + len(token) for s, _, e in secrets.scan([f"see {token} now"])[0])
+    plain = ["Verantwortungsbereiche der Zusammenarbeit", "=" * 40, "in internationalisation/localisation", "write to firstname.familyname@example.com"]
+    assert not any(secrets.scan(plain))
