@@ -16,10 +16,11 @@ from .textops import LOWER, NON_LETTER, U64, bytes_of, hash_words, slices, split
 @dataclass(frozen=True)
 class ToxicConfig:
     """rows: labelled documents that the model is fitted on, at most; those with the
-    smallest hash of their id. calibration: one in so many of them sets the scale of
-    the score and the thresholds instead of weights. prefixes: a word is the sum of
-    the embeddings of itself and of its first so many bytes. recall: of all
-    thresholds of a language that keep it, the highest is taken."""
+    smallest hash of their id. calibration: one in so many of them is left out of
+    fitting; with all labelled documents beyond rows they set the scale of the score
+    and, for each language, the threshold with the fewest errors. prefixes: a word is
+    the sum of the embeddings of itself and of its first so many bytes. bins: parts
+    of one in the histograms of responses, which are counted from -span to span."""
 
     rows: int = 6000
     calibration: int = 4
@@ -32,6 +33,8 @@ class ToxicConfig:
     batch: int = 64
     rate: float = 0.1
     seed: int = 7
+    bins: int = 256
+    span: int = 40
 
 
 def tokens(data: np.ndarray, at: np.ndarray, cfg: ToxicConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +64,7 @@ class Model:
         self.base = np.float32(-1.0)
         self.scale, self.shift = 1.0, 0.0
         self.thresholds: dict[str | None, float] = {None: 0.5}
+        self.fitted = np.zeros(0, np.int64)
 
     def tables(self) -> np.ndarray:
         """For each bucket, what it adds to each filter at each offset."""
@@ -179,41 +183,75 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], cfg: Toxic
                 step(p, s, g)
             base_sum += g_base * g_base
             model.base = np.float32(model.base - cfg.rate * g_base / np.sqrt(base_sum))
-    _calibrate(model, words, of_text, y, langs, np.flatnonzero(held) if held.any() and y[held].min() < y[held].max() else train)
+    model.fitted = train
+    rows, table = np.flatnonzero(held) if held.any() and y[held].min() < y[held].max() else train, model.tables()
+    raw = np.concatenate([model.raw(table, words[of_text[i] : of_text[i + 1]], np.array([0, of_text[i + 1] - of_text[i]])) for i in rows.tolist()]).astype(np.float64)
+    calibrate(model, raw, y[rows], np.array([langs[i] or "" for i in rows.tolist()]), np.ones(len(rows), np.int64))
     return model
 
 
-def _calibrate(model: Model, words: np.ndarray, of_text: np.ndarray, y: np.ndarray, langs: list[str | None], rows: np.ndarray) -> None:
-    """Sets the scale so that 0.5 parts the labels best, then the threshold that does for each language."""
-    table = model.tables()
-    raw = np.concatenate([model.raw(table, words[of_text[i] : of_text[i + 1]], np.array([0, of_text[i + 1] - of_text[i]])) for i in rows.tolist()]).astype(np.float64)
-    label = y[rows]
-    model.scale = float(4 / max(raw.std(), 1e-6))
-    model.shift = -_best_cut(raw, label) * model.scale
+def calibrate(model: Model, raw: np.ndarray, label: np.ndarray, langs: np.ndarray, count: np.ndarray) -> None:
+    """Sets the scale so that 0.5 parts the labels best, then the threshold that does for each language.
+
+    count: how many documents each response, label and language stands for.
+    """
+    mean = np.average(raw, weights=count)
+    model.scale = float(4 / max(np.sqrt(np.average((raw - mean) ** 2, weights=count)), 1e-6))
+    model.shift = -_best_cut(raw, label, count) * model.scale
     score = 1 / (1 + np.exp(-np.clip(raw * model.scale + model.shift, -40, 40)))
-    own = np.array([langs[i] or "" for i in rows.tolist()])
-    for lang in sorted({*own.tolist()} - {""}):
-        here = own == lang
+    model.thresholds = {None: 0.5}
+    for lang in sorted({*langs.tolist()} - {""}):
+        here = langs == lang
         if label[here].min() < label[here].max():
-            model.thresholds[lang] = float(np.clip(_best_cut(score[here], label[here]), 0.3, 0.9))
+            model.thresholds[lang] = float(np.clip(_best_cut(score[here], label[here], count[here]), 0.3, 0.9))
 
 
-def _best_cut(values: np.ndarray, label: np.ndarray) -> float:
+def _best_cut(values: np.ndarray, label: np.ndarray, count: np.ndarray) -> float:
     """The middle one of the cuts with the fewest errors."""
-    known = np.unique(values)
+    known, of = np.unique(values, return_inverse=True)
     cuts = np.concatenate([[known[0] - 1e-3], (known[1:] + known[:-1]) / 2, [known[-1] + 1e-3]])
-    ones, zeros = np.sort(values[label == 1]), np.sort(values[label == 0])
-    errors = np.searchsorted(ones, cuts) + len(zeros) - np.searchsorted(zeros, cuts)
+    ones, zeros = (np.bincount(of, np.where(label == k, count, 0), len(known)) for k in (1, 0))
+    errors = np.concatenate([[0], np.cumsum(ones)]) + zeros.sum() - np.concatenate([[0], np.cumsum(zeros)])
     best = np.flatnonzero(errors == errors.min())
     return float(cuts[best[len(best) // 2]])
 
 
+def _responses(shared, span: int):
+    """id, lang and the model's response to the text, limited to span, from (id, text, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = shared.value
+        for batch in batches:
+            for rows, data, bounds in slices(batch, "text", 1 << 21):
+                raw = np.clip(model.raw(table, *tokens(data, bounds, model.cfg)).astype(np.float64), -span, span)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(raw)], ["id", "lang", "raw"])
+
+    return run
+
+
+def _calibrated(model: Model, docs: DataFrame, known: DataFrame, fitted: list[int], cfg: ToxicConfig) -> None:
+    """Calibrates the model on all labelled documents but the fitted ones, by histograms that executors count."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model, model.tables()))
+    own = F.broadcast(spark.createDataFrame([(i,) for i in fitted], "id long"))
+    found = docs.mapInArrow(_responses(shared, cfg.span), "id long, lang string, raw double").join(known.join(own, "id", "left_anti"), "id")
+    counts = found.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "label", F.round(F.col("raw") * cfg.bins).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "label", "bin").toArrow()
+    label = counts.column("label").to_numpy()
+    if len(label) and label.min() < label.max():
+        calibrate(model, counts.column("bin").to_numpy() / cfg.bins, label, np.array(counts.column("lang").to_pylist()), counts.column("n").to_numpy())
+    shared.unpersist()
+
+
 def _fitted(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig, id: str, text: str, lang: str) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1) and pmod(crc32(cast(id as string)), 5) <> 0")
-    chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(cfg.rows)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null").join(F.broadcast(chosen), "id")
-    table = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(cfg.rows).toArrow()
-    return fit(table.column("text").combine_chunks(), table.column("label").to_numpy(), table.column("lang").to_pylist(), cfg)
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(cfg.rows)
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null")
+    table = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(cfg.rows).toArrow()
+    model = fit(table.column("text").combine_chunks(), table.column("label").to_numpy(), table.column("lang").to_pylist(), cfg)
+    if len(model.fitted):
+        _calibrated(model, texts, known, sorted({*table.column("id").to_numpy()[model.fitted].tolist()}), cfg)
+    return model
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig(), id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -222,8 +260,10 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicCon
     The model is fitted on the driver, on cfg.rows labelled documents at most, of
     ids whose crc32 as text isn't divisible by 5; those are 6,000 ids, the only
     thing that is broadcast beside the weights of a few megabytes. It sees words
-    of the text only. _toxic holds the score against the threshold of the row's
-    language, or against 0.5 if that is null or had no labelled documents.
+    of the text only. All labelled documents of such ids that weren't fitted are
+    then scored on the executors, and set the scale and the thresholds. _toxic
+    holds the score against the threshold of the row's language, or against 0.5 if
+    that is null or had no two labels among those.
 
     All of a text is scored. Null and empty texts, and texts without letters, get
     the score of no response, whatever the model's base gives. Labels other than 0

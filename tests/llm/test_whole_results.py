@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from frameweft.llm import secrets
+from frameweft.llm import secrets, toxicity
 from frameweft.llm.queries import op1_fuzzy_lines
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -52,3 +54,17 @@ def test_secrets_with_few_digits_are_found():
     assert any(s == 4 and e == 4 + len(token) for s, _, e in secrets.scan([f"see {token} now"])[0])
     plain = ["Verantwortungsbereiche der Zusammenarbeit", "=" * 40, "in internationalisation/localisation", "write to firstname.familyname@example.com"]
     assert not any(secrets.scan(plain))
+
+
+def test_toxicity_thresholds_cover_all_labels(spark):
+    """A language without a row in the sample that is fitted gets its threshold from the labelled rows beyond it."""
+    rng = random.Random(15)
+    vile = lambda i: i % 3 == 0
+    rows = [(i, words(rng, 12) + (" vile " if vile(i) else " kind ") + words(rng, 6)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(vile(i))) for i in range(600)], "doc_id long, toxic int")
+    usable = docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 0").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = {r.doc_id for r in usable.limit(200).collect()}
+    docs = docs.withColumn("lang", F.when(F.col("doc_id").isin(sample), "en").otherwise("xx"))
+    model = toxicity._fitted(docs, labels, toxicity.ToxicConfig(rows=200), "doc_id", "text", "lang")
+    assert set(model.thresholds) == {None, "en", "xx"}
