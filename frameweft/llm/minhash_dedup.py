@@ -234,21 +234,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("row_hash"))
     signed = materialize(source.mapInArrow(_signatures(cfg), "id long, row_hash long, n long, high long, low long, bands array<long>"), "signatures")
     classes = signed.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min(F.struct("id", "row_hash")).alias("best"), F.any_value("bands").alias("bands"))
-    classes = materialize(classes.select("high", "low", "best.id", "best.row_hash", "bands"), "classes")
-    banded = classes.select("id", "row_hash", F.explode("bands").alias("key"))
+    # from here to the components a class goes by a number of its own: two classes may have one id
+    classes = materialize(classes.select("high", "low", F.col("best.id").alias("doc"), "best.row_hash", "bands", F.monotonically_increasing_id().alias("id")), "classes")
+    banded = classes.select("id", "doc", "row_hash", F.explode("bands").alias("key"))
     sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     members = materialize(banded.join(sizes, "key"), "members")
-    texts = materialize(source.join(members.select("id", "row_hash").distinct(), ["id", "row_hash"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    wanted = members.select("id", "doc", "row_hash").distinct()
+    texts = materialize(source.withColumnRenamed("id", "doc").join(wanted, ["doc", "row_hash"]).select("id", "text").dropDuplicates(["id"]), "texts")
 
     degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
     pivots = materialize(members.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", F.bitwise_not("id"))).alias("pivot")), "pivots")
     shared = members.join(pivots, "key").where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
     best = shared.groupBy("id").agg(F.max_by("pivot", F.struct("bands", F.bitwise_not("pivot"))).alias("pivot"))
     first = _compared(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts, cfg, "first-pairs")
-    links = first.where("linked").select("a", "b")
-    parts = materialize(connected_components(links), "components")
+    of_a, of_b = classes.select(F.col("id").alias("a"), F.col("doc").alias("doc_a")), classes.select(F.col("id").alias("b"), F.col("doc").alias("doc_b"))
+    linked = lambda pairs: pairs.where("linked").select("a", "b").join(of_a, "a").join(of_b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    links = linked(first)
+    parts = materialize(connected_components(links).withColumnRenamed("id", "doc"), "components")
 
-    placed = materialize(members.select("key", "id", "size").join(parts, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("part")), "placed")
+    placed = materialize(members.select("key", "id", "doc", "size").join(parts, "doc", "left").select("key", "id", "size", F.coalesce("component", "doc").alias("part")), "placed")
     mixed = materialize(placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key"), "mixed")
     unsettled = materialize(placed.join(mixed, "key"), "unsettled")
     from_pivot = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "apart").unionByName(first.select(F.col("b").alias("id"), F.col("b").alias("pivot"), F.lit(0.0).alias("apart")).distinct())
@@ -261,9 +265,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "part", "own").join(sketched, "id").select(*_DEALT)
     more = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_agreeing(cfg), "a long, b long")
     second = _compared(more, texts, cfg, "second-pairs")
-    parts = materialize(connected_components(links.unionByName(second.where("linked").select("a", "b"))), "components")
+    parts = materialize(connected_components(links.unionByName(linked(second))).withColumnRenamed("id", "doc"), "components")
 
-    named = materialize(classes.select("high", "low", "id").join(parts, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component_id")), "named")
+    named = materialize(classes.select("high", "low", "doc").join(parts, "doc", "left").select("high", "low", F.coalesce("component", "doc").alias("component_id")), "named")
     out = signed.select("id", "row_hash", F.col("n").alias("n_shingles"), "high", "low").join(named, ["high", "low"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(F.coalesce(component, "id")).alias("kept"), "row_hash")

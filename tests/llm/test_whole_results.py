@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from frameweft.llm import secrets, toxicity
+from frameweft.llm.minhash_dedup import near_duplicates
 from frameweft.llm.queries import op1_fuzzy_lines
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -68,3 +69,12 @@ def test_toxicity_thresholds_cover_all_labels(spark):
     docs = docs.withColumn("lang", F.when(F.col("doc_id").isin(sample), "en").otherwise("xx"))
     model = toxicity._fitted(docs, labels, toxicity.ToxicConfig(rows=200), "doc_id", "text", "lang")
     assert set(model.thresholds) == {None, "en", "xx"}
+
+
+def test_near_duplicates_of_texts_under_one_id(spark):
+    """Two texts with one id: each is compared as itself, and both links hold."""
+    rng = random.Random(16)
+    one, two = words(rng, 200), words(rng, 200)
+    rows = [(1, one + " end"), (2, two + " end"), (7, one), (7, two), (8, words(rng, 50))]
+    found = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 1), (7, 1), (8, 8)}
