@@ -21,9 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textops import U64, hash_words, ranges, slices, split_words
 
-CACHE_WORDS = 1_500_000
+#: The most that a worker's cache holds: words, and token ids of all of these.
+CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
 #: What the fast split of many words at once doesn't cover: characters from
 #: U+0180 on, which normalisation may join or fold, and special tokens.
 _ODD = re.compile("[^\x00-\u017f]|<\\|")
@@ -222,7 +224,7 @@ class PairIndexBPE:
         found = np.searchsorted(self._hash, hashes)
         known = np.zeros(len(hashes), bool) if not len(self._hash) else self._hash[np.minimum(found, len(self._hash) - 1)] == hashes
         if not known.all():
-            if len(self._hash) + np.count_nonzero(~known) > CACHE_WORDS:
+            if len(self._hash) + np.count_nonzero(~known) > CACHE_WORDS or len(self._ids) > CACHE_IDS:
                 self._clear()
                 known[:] = False
             raw, fresh = data.tobytes(), first[~known]
@@ -252,10 +254,12 @@ def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
     other. An empty table gives an empty result; extra columns aren't read.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for rows, data, at in slices(batch, "text", 1 << 23):
+            for rows, data, at in slices(batch, "text", 1 << 21):
                 ids, bounds = bpe.encode(data, at)
                 yield pa.RecordBatch.from_arrays([rows.column(0), _binary(ids, bounds)], ["id", "ids"])
 
@@ -272,10 +276,12 @@ def round_trip_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str
     """id, n_tokens, ids_sha256 and decoded_sha256 per row, see encoded(); an empty
     sequence decodes to an empty text."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for rows, data, at in slices(batch, "text", 1 << 23):
+            for rows, data, at in slices(batch, "text", 1 << 21):
                 ids, bounds = bpe.encode(data, at)
                 raw, n = np.ascontiguousarray(ids.astype("<u4")), bounds.tolist()
                 own = [hashlib.sha256(raw[lo:hi]).hexdigest() for lo, hi in zip(n[:-1], n[1:], strict=True)]

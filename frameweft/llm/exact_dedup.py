@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, release
+from .shared import fresh, materialize, release
 from .textops import SPACE_BYTES, bytes_of
 
 Digest = Callable[[bytes], bytes]
@@ -114,7 +114,11 @@ def _by_bytes(source: DataFrame, collided: DataFrame, digest: Digest) -> DataFra
 def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates() drops, with all columns.
 
-    A dropped row is found by id and row_hash; a row with a null id stays.
+    A dropped row is found by id and row_hash; a row with a null id stays, and rows
+    that repeat the id and text of the one that stays do too. A null text counts as
+    empty: of null and empty texts one stays. An empty table gives an empty result;
+    other columns are kept, whatever their names.
     """
-    gone = exact_duplicates(docs, id, text).where("not kept").select(F.col(id).alias("_gone_id"), F.col("row_hash").alias("_gone_hash"))
-    return docs.join(gone, (F.col(id).cast("long") == F.col("_gone_id")) & (F.xxhash64(F.col(text)) == F.col("_gone_hash")), "left_anti")
+    gone_id, gone_hash = fresh(docs, "_gone_id"), fresh(docs, "_gone_hash")
+    gone = exact_duplicates(docs, id, text).where("not kept").select(F.col(id).alias(gone_id), F.col("row_hash").alias(gone_hash))
+    return docs.join(gone, (F.col(id).cast("long") == F.col(gone_id)) & (F.xxhash64(F.col(text)) == F.col(gone_hash)), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import fresh, materialize
 from .textops import LOWER, U64, bytes_of, hash_runs, hash_words, mix, ranges, slices, split_words
 
 
@@ -275,5 +275,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg: NearConfig = NearConfig()) -> DataFrame:
     """docs with one document of each component, with all columns; rows with a null id stay."""
-    gone = near_duplicates(docs, id, text, cfg).where("not kept").select(F.col(id).alias("_gone_id"), F.col("row_hash").alias("_gone_hash"))
-    return docs.join(gone, (F.col(id).cast("long") == F.col("_gone_id")) & (F.xxhash64(F.col(text)) == F.col("_gone_hash")), "left_anti")
+    gone_id, gone_hash = fresh(docs, "_gone_id"), fresh(docs, "_gone_hash")
+    gone = near_duplicates(docs, id, text, cfg).where("not kept").select(F.col(id).alias(gone_id), F.col("row_hash").alias(gone_hash))
+    return docs.join(gone, (F.col(id).cast("long") == F.col(gone_id)) & (F.xxhash64(F.col(text)) == F.col(gone_hash)), "left_anti")

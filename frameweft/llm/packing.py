@@ -106,7 +106,7 @@ def _pack(path: str, cfg: PackConfig):
         bpe, packer, part = load(path), _Packer(cfg), TaskContext.get().partitionId()
         end = np.array([cfg.end], "<u4").tobytes()
         for batch in batches:
-            for rows, data, at in slices(batch, "text", 1 << 22):
+            for rows, data, at in slices(batch, "text", 1 << 21):
                 ids, bounds = bpe.encode(data, at)
                 raw, n = np.ascontiguousarray(ids.astype("<u4")).tobytes(), (4 * bounds).tolist()
                 for id_, lo, hi in zip(rows.column(0).to_pylist(), n[:-1], n[1:], strict=True):

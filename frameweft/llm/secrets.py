@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh, small_batches
 from .textops import LOWER, slices
 
 # The base kinds, in the order in which they are listed.
@@ -253,8 +254,9 @@ def scan(texts: list[str], cfg: SecretConfig = SecretConfig()) -> list[list[tupl
     return found
 
 
-def secret_spans(docs: DataFrame, text: str = "text", cfg: SecretConfig = SecretConfig()) -> DataFrame:
-    """docs with a further column, _spans: an array of (kind, start, end) for each row.
+def secret_spans(docs: DataFrame, text: str = "text", cfg: SecretConfig = SecretConfig(), spans: str = "_spans") -> DataFrame:
+    """docs with a further column, spans: an array of (kind, start, end) for each row.
+    A column of docs that has this name is replaced.
 
     Kinds are assign, access and hex, by the rules above on the whole text and
     leftmost without overlap within a kind, and model for what the network adds.
@@ -264,27 +266,35 @@ def secret_spans(docs: DataFrame, text: str = "text", cfg: SecretConfig = Secret
     A text that is null or empty has no spans. All columns, rows that repeat and
     null ids pass through as they are. An empty table gives an empty result.
     """
-    kept, at = docs.columns, docs.columns.index(text)
+    small_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() != spans.lower()]
+    source, at = docs.select(*kept), kept.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = docs.withColumn("_spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).schema
+    schema = source.withColumn(spans, F.array().cast("array<struct<kind:string,start:int,end:int>>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = pa.RecordBatch.from_arrays([*batch.columns, batch.column(at).cast(pa.string())], [*map(str, range(batch.num_columns)), "text"])
             for rows, data, bounds in slices(named, "text"):
-                spans: list[list[dict]] = [[] for _ in range(rows.num_rows)]
+                found: list[list[dict]] = [[] for _ in range(rows.num_rows)]
                 some = _suspects(data, bounds)
                 texts = rows.column(rows.num_columns - 1).take(pa.array(some)).to_pylist()
                 for i, own in zip(some.tolist(), scan([t or "" for t in texts], cfg), strict=True):
-                    spans[i] = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in own]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(spans, kind)], [*kept, "_spans"])
+                    found[i] = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in own]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(found, kind)], [*kept, spans])
 
-    return docs.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", cfg: SecretConfig = SecretConfig()) -> DataFrame:
-    """docs with all columns, and mask in the place of each secret; spans that overlap or touch are one."""
-    found = secret_spans(docs, text, cfg)
+    """docs with all columns, and mask in the place of each secret; spans that overlap or touch are one.
+
+    Texts without a secret, empty and null ones stay as they are, and so do all other
+    columns, whatever their names, rows that repeat and null ids. An empty table gives
+    an empty result.
+    """
+    spans, merged = fresh(docs, "_spans"), fresh(docs, "_merged")
+    found = secret_spans(docs, text, cfg, spans)
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def join(acc, s):
@@ -293,8 +303,7 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", cfg: S
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when(F.size(acc) == 0, F.array(own)).when(s["start"] <= last["end"], grown).otherwise(F.concat(acc, F.array(own)))
 
-    merged = F.aggregate("_spans", none, join)
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"), s["end"].alias("at"))
-    masked = F.aggregate("_merged", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(text))))
-    return found.withColumn("_merged", merged).withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).drop("_spans", "_merged")
+    masked = F.aggregate(merged, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(text))))
+    return found.withColumn(merged, F.aggregate(spans, none, join)).withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop(spans, merged)

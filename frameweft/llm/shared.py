@@ -28,9 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: The most that an Arrow batch holds on its way to a Python worker, unless the session asks for less.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes, so that a batch of whole texts is as small as one of keys.
+
+    The default counts rows: 10,000 texts on either side of the pipe, for each
+    task of an executor. A single text of any length still goes in one batch.
+    """
+    known = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if not known or not known.rstrip("bB").isdigit() or int(known.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, as no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: later reads
     neither repeat its work nor depend on the executors that did it."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/frameweft/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((df.sparkSession, path))

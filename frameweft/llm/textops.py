@@ -52,7 +52,7 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of whole rows of about limit bytes of text, with each run's bytes and offsets."""
     data, at = bytes_of(batch.column(batch.schema.get_field_index(column)))
     lo, n = 0, batch.num_rows
@@ -62,6 +62,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator
         lo = hi
 
 
+def parts(data: np.ndarray, between: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Places of data in parts of about limit bytes, none of which ends inside of a word: between tells
+    the bytes that belong to none. A longer word stays whole."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = lo + limit
+        while hi < n:
+            free = np.flatnonzero(between[data[hi : hi + 4096]])
+            if len(free):
+                hi += int(free[0])
+                break
+            hi += 4096
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
+
+
 def split_words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the offsets of each text's words; no word crosses two texts."""
     return split_at(separator[data], at)
@@ -98,18 +115,22 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: So many powers are kept for each base; for the words of a very long text more are made and dropped.
+_KEPT = 1 << 18
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least (base is odd)."""
-    key = (base, 1 << max(12, int(n).bit_length()))
-    if key not in _POWERS:
-        up = np.full(key[1], base, U64)
-        down = np.full(key[1], pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        _POWERS[key] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[key]
+    if base in _POWERS and n <= len(_POWERS[base][0]):
+        return _POWERS[base]
+    size = max(1 << 12, min(1 << int(n).bit_length(), _KEPT)) if n <= _KEPT else n
+    up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    made = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size <= _KEPT:
+        _POWERS[base] = made
+    return made
 
 
 def hash_runs(words: np.ndarray, k: int, base: int = 0x5851F42D4C957F2D) -> np.ndarray:

@@ -7,22 +7,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import LOWER, NON_LETTER, U64, bytes_of, hash_words, slices, split_words
+from .shared import small_batches
+from .textops import LOWER, NON_LETTER, U64, bytes_of, hash_words, parts, slices, split_words
 
 
 @dataclass(frozen=True)
 class ToxicConfig:
     """rows: labelled documents that the model is fitted on, at most; those with the
-    smallest hash of their id. calibration: one in so many of them is left out of
+    smallest hash of their id, and of these as many as have bytes of text between them.
+    slice: bytes of text that are scored at a time; of a longer text parts are. calibration: one in so many of them is left out of
     fitting; with all labelled documents beyond rows they set the scale of the score
     and, for each language, the threshold with the fewest errors. prefixes: a word is
     the sum of the embeddings of itself and of its first so many bytes. bins: parts
     of one in the histograms of responses, which are counted from -span to span."""
 
     rows: int = 6000
+    bytes: int = 64 << 20
+    slice: int = 1 << 18
     calibration: int = 4
     buckets: int = 1 << 15
     dims: int = 16
@@ -99,8 +103,21 @@ class Model:
     def raw(self, table: np.ndarray, words: np.ndarray, of_text: np.ndarray) -> np.ndarray:
         return self.pooled(table, words, of_text) @ self.out + self.base
 
-    def score(self, table: np.ndarray, words: np.ndarray, of_text: np.ndarray) -> np.ndarray:
-        z = self.raw(table, words, of_text).astype(np.float64) * self.scale + self.shift
+    def response(self, table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """raw() of texts as bytes. A text that is longer than a slice goes through the filters in parts,
+        each with the last words of the part before it; the largest response is that of the whole."""
+        if len(at) != 2 or len(data) <= self.cfg.slice:
+            return self.raw(table, *tokens(data, at, self.cfg))
+        reach, best, before = max(self.cfg.widths) - 1, np.zeros((1, len(self.bias)), np.float32), None
+        for lo, hi in parts(data, NON_LETTER, self.cfg.slice):
+            words, _ = tokens(data[lo:hi], np.array([0, hi - lo]), self.cfg)
+            words = words if before is None else np.concatenate([before, words])
+            best = np.maximum(best, self.pooled(table, words, np.array([0, len(words)])))
+            before = words[max(0, len(words) - reach) :]
+        return best @ self.out + self.base
+
+    def score(self, raw: np.ndarray) -> np.ndarray:
+        z = raw.astype(np.float64) * self.scale + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -222,8 +239,8 @@ def _responses(shared, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
         for batch in batches:
-            for rows, data, bounds in slices(batch, "text", 1 << 21):
-                raw = np.clip(model.raw(table, *tokens(data, bounds, model.cfg)).astype(np.float64), -span, span)
+            for rows, data, bounds in slices(batch, "text", model.cfg.slice):
+                raw = np.clip(model.response(table, data, bounds).astype(np.float64), -span, span)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(raw)], ["id", "lang", "raw"])
 
     return run
@@ -239,53 +256,58 @@ def _calibrated(model: Model, docs: DataFrame, known: DataFrame, fitted: list[in
     label = counts.column("label").to_numpy()
     if len(label) and label.min() < label.max():
         calibrate(model, counts.column("bin").to_numpy() / cfg.bins, label, np.array(counts.column("lang").to_pylist()), counts.column("n").to_numpy())
-    shared.unpersist()
+    shared.destroy()
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig, id: str, text: str, lang: str) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1) and pmod(crc32(cast(id as string)), 5) <> 0")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(cfg.rows)
+    order = [F.xxhash64("id"), F.col("id"), F.col("text_hash")]
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null")
-    table = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(cfg.rows).toArrow()
+    sizes = texts.join(F.broadcast(chosen.select("id")), "id").select("id", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("size")).orderBy(*order).limit(cfg.rows)
+    before = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of cfg.rows rows
+    wanted = sizes.withColumn("upto", before).where(F.col("upto") <= cfg.bytes).select("id", "text_hash").distinct().join(chosen, "id")
+    table = texts.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "text_hash"]).orderBy(*order).limit(cfg.rows).drop("text_hash").toArrow()
     model = fit(table.column("text").combine_chunks(), table.column("label").to_numpy(), table.column("lang").to_pylist(), cfg)
     if len(model.fitted):
         _calibrated(model, texts, known, sorted({*table.column("id").to_numpy()[model.fitted].tolist()}), cfg)
     return model
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig(), id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with two further columns: _score (0 to 1, higher: more likely toxic) and _toxic.
+def toxic_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig(), id: str = "doc_id", text: str = "text", lang: str = "lang", score: str = "_score", toxic: str = "_toxic") -> DataFrame:
+    """docs with two further columns: score (0 to 1, higher: more likely toxic) and toxic.
+    Columns of docs that have one of these names are replaced.
 
-    The model is fitted on the driver, on cfg.rows labelled documents at most, of
-    ids whose crc32 as text isn't divisible by 5; those are 6,000 ids, the only
+    The model is fitted on the driver, on cfg.rows labelled documents of cfg.bytes at
+    most, of ids whose crc32 as text isn't divisible by 5; those are 6,000 ids, the only
     thing that is broadcast beside the weights of a few megabytes. It sees words
     of the text only. All labelled documents of such ids that weren't fitted are
-    then scored on the executors, and set the scale and the thresholds. _toxic
+    then scored on the executors, and set the scale and the thresholds. toxic
     holds the score against the threshold of the row's language, or against 0.5 if
     that is null or had no two labels among those.
 
-    All of a text is scored. Null and empty texts, and texts without letters, get
+    All of a text is scored, a very long one in parts that overlap, with the same
+    result. Null and empty texts, and texts without letters, get
     the score of no response, whatever the model's base gives. Labels other than 0
     and 1 and null ids are ignored; an id that is labelled twice counts as toxic if
     either label is. Rows that repeat an id are scored alike if their texts are. An
     empty table gives an empty result; without usable labels the score is constant.
     """
+    small_batches(docs.sparkSession)
     model = _fitted(docs, labels, cfg, id, text, lang)
-    table = model.tables()
-    shared = docs.sparkSession.sparkContext.broadcast((model, table))
-    kept = docs.columns
-    schema = docs.withColumns({"_score": F.lit(0.0), "_toxic": F.lit(True)}).schema
-    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.tables()))
+    kept = [c for c in docs.columns if c.lower() not in (score.lower(), toxic.lower())]
+    source, at, tongue = docs.select(*kept), kept.index(text), kept.index(lang)
+    schema = source.withColumns({score: F.lit(0.0), toxic: F.lit(True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
         for batch in batches:
-            named = pa.RecordBatch.from_arrays([*batch.columns, batch.column(at).cast(pa.string())], [*map(str, range(batch.num_columns)), "text"])
-            for rows, data, bounds in slices(named, "text", 1 << 21):
-                score = model.score(table, *tokens(data, bounds, model.cfg))
-                langs = rows.column(kept.index(lang)).to_pylist()
-                limit = np.array([model.thresholds.get(x, 0.5) for x in langs])
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(score), pa.array(score >= limit)], [*kept, "_score", "_toxic"])
-
-    return docs.mapInArrow(run, schema)
+            named = pa.RecordBatch.from_arrays([*batch.columns, batch.column(at).cast(pa.string())], [*map(str, range(len(kept))), "text"])
+            for rows, data, bounds in slices(named, "text", model.cfg.slice):
+                found = model.score(model.response(table, data, bounds))
+                limit = np.array([model.thresholds.get(x, 0.5) for x in rows.column(tongue).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(found), pa.array(found >= limit)], [*kept, score, toxic])
+
+    return source.mapInArrow(run, schema)
