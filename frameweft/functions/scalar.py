@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The line formats of timed events; the first takes scores without a sign.
-EVENT_LINE = r"^\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*$"
-SIGNED_EVENT_LINE = r"^\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$"
+# The line formats of timed events; only the second takes scores with a sign.
+EVENT_LINE = r"^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*$"
+SIGNED_EVENT_LINE = r"^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$"
+#: Where a text file's lines end.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
 def number(text: Column) -> Column:
     """A double where text is a plain decimal number, else null."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+
+
+def whole_number(text: Column) -> Column:
+    """An int where text is one, without a fraction; else null."""
+    return F.when(text.rlike(WHOLE_NUMBER), F.trim(text).try_cast("int"))
+
+
+def two_decimals(x: Column) -> Column:
+    """x >= 0 as text with two decimals, rounded by its exact binary value, halves to even.
+
+    The doubled hundreds of x are compared with the odd number in the middle: x is split
+    into two parts of which the products by 200 are exact.
+    """
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    low = F.floor(x * 100).cast("double")
+    over = (high * 200 - (2 * low + 1)) + (x - high) * 200
+    cents = F.when(over > 0, low + 1).when((over == 0) & (low % 2 == 1), low + 1).otherwise(low).cast("long")
+    return F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)
 
 
 def basename(path: Column) -> Column:
@@ -22,16 +44,26 @@ def basename(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """The name without its last suffix; a name that only begins with a dot has none."""
-    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]+$", "")
 
 
 def parent(path: Column) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(-2))
 
 
+def suffix(path: Column) -> Column:
+    """The last suffix with its dot, or an empty text."""
+    return F.regexp_extract(basename(path), r"^.+(\.[^.]+)$", 1)
+
+
+def without_suffix(path: Column) -> Column:
+    """path without the last suffix of its last part."""
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", "")
+
+
 def output_key(path: Column, root: str) -> Column:
     """The path below root without suffix, else <parent>_<stem>."""
-    inside = F.regexp_replace(F.substring(path, len(root) + 2, 1 << 30), r"(?<=[^/])\.[^./]*$", "")
+    inside = without_suffix(F.substring(path, len(root) + 2, 1 << 30))
     return F.when(path.startswith(root + "/"), inside).otherwise(F.concat_ws("_", parent(path), stem(path)))
 
 
@@ -46,8 +78,10 @@ def replace_first(text: Column, old: str, new: str) -> Column:
 
 
 def clip_key_of(path: Column, dataset: Column) -> Column:
-    """realtalk: <parent>_<stem>; seamless: <stem>; null for others."""
-    return F.when(dataset == "realtalk", F.concat_ws("_", parent(path), stem(path))).when(dataset == "seamless", stem(path))
+    """realtalk: <parent>_<stem>; seamless: <stem>. Another dataset is an error, and so is a realtalk path without parent."""
+    short = F.raise_error(F.concat(F.lit("no parent in "), path))
+    realtalk = F.when(parent(path).isNull(), short).otherwise(F.concat_ws("_", parent(path), stem(path)))
+    return F.when(dataset == "realtalk", realtalk).when(dataset == "seamless", stem(path)).otherwise(F.raise_error(F.concat(F.lit("unknown dataset "), dataset)))
 
 
 def prefix_and_end(name: Column) -> tuple[Column, Column]:
@@ -67,15 +101,25 @@ def euler_degrees(m: str) -> Column:
 
 
 def bounding_box(points: str, width: int, height: int) -> tuple[Column, Column]:
-    """Least and greatest x and y of an array of points, limited to [0, 1], and in whole pixels, halves to even."""
+    """Least and greatest x and y of an array of points, limited to [0, 1], and in whole pixels, halves to even.
+    Without points both are null."""
+    some = F.coalesce(F.size(points) > 0, F.lit(False))
     side = lambda pick, i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), pick(F.transform(points, lambda p: p[i]))))
     box = F.array(side(F.array_min, 0), side(F.array_min, 1), side(F.array_max, 0), side(F.array_max, 1))
     scale = F.array(*(F.lit(float(v)) for v in (width, height, width, height)))
-    return box, F.transform(F.zip_with(box, scale, lambda a, b: F.rint(a * b)), lambda v: v.cast("int"))
+    return F.when(some, box), F.when(some, F.transform(F.zip_with(box, scale, lambda a, b: F.rint(a * b)), lambda v: v.cast("int")))
+
+
+def au04_proxy(blendshapes: str) -> Column:
+    """The mean of the shapes that lower the brows, a missing one counting as 0; null without shapes."""
+    shape = lambda k: F.coalesce(F.col(blendshapes)[k], F.lit(0.0))
+    return F.when(F.coalesce(F.size(blendshapes) > 0, F.lit(False)), (shape("browDownLeft") + shape("browDownRight")) / 2)
 
 
 def half_precision(x: Column) -> Column:
-    """x >= 0 rounded to what a half-precision float holds, by way of single precision."""
+    """x rounded to what a half-precision float holds, by way of single precision; beyond its range infinite."""
     x = x.cast("float").cast("double")
-    ulp = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(x)).cast("double"), F.lit(-14.0)) - 10)
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / ulp) * ulp)
+    size = F.abs(x)
+    ulp = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)).cast("double"), F.lit(-14.0)) - 10)
+    held = F.when(size >= 65520, F.lit(float("inf"))).when(size == 0, F.lit(0.0)).otherwise(F.rint(size / ulp) * ulp)
+    return F.when(F.isnan(x), x).when(x < 0, -held).otherwise(held)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import half_precision, number
+
+_CHUNK = r"^chunk_\d+$"
 # The channels in the order that breaks ties.
 CHANNELS = ("smiling", "laughing", "frowning", "surprised", "nodding", "head_shaking")
 
@@ -49,8 +52,44 @@ def align(chunks: DataFrame, anchor: DataFrame, key: str = "clip_key") -> DataFr
 
 
 def prune(others: DataFrame, kept: DataFrame, key: str = "clip_key", name: str = "chunk_name") -> DataFrame:
-    """Rows of others whose clip is kept and whose chunk is, if their name is that of a chunk."""
-    inside = others.join(kept.select(key).distinct(), key, "left_semi")
-    pairs = kept.select(key, name).distinct().withColumn("_there", F.lit(True))
-    marked = inside.join(pairs, [key, name], "left")
-    return marked.where(F.col("_there") | ~F.col(name).rlike(r"^chunk_\d+$")).drop("_there")
+    """The chunks of others that kept has, and what else their clips have. A clip without any such chunk goes whole.
+
+    kept comes as one row of names per clip, so that all takes one exchange on the clip.
+    """
+    names = kept.where(F.col(name).rlike(_CHUNK)).groupBy(key).agg(F.collect_set(name).alias("_names"))
+    marked = others.join(names, key).withColumn("_chunk", F.col(name).rlike(_CHUNK))
+    marked = marked.withColumn("_there", F.col("_chunk") & F.array_contains("_names", F.col(name)))
+    marked = marked.withColumn("_any", F.max("_there").over(Window.partitionBy(key)))
+    return marked.where("_there or (not _chunk and _any)").drop("_names", "_chunk", "_there", "_any")
+
+
+def half_chunks(chunks: DataFrame, data: str = "data") -> DataFrame:
+    """Chunks as they are stored: every value as half precision holds it."""
+    return chunks.withColumn(data, F.transform(data, lambda row: F.transform(row, half_precision)))
+
+
+def matrix(rows: DataFrame, channels: tuple[str, ...] = CHANNELS, order: str = "line_no") -> DataFrame:
+    """Combined rows in the order of their frames, equal frames in that of their lines: clip_key, position, values.
+    A value or an index that isn't a number is an error."""
+    strict = lambda c: F.when(number(F.col(c)).isNull(), F.raise_error(F.concat(F.lit(f"{c} isn't a number: "), F.coalesce(c, F.lit("null"))))).otherwise(number(F.col(c)))
+    typed = rows.select("clip_key", order, strict("frame_index").cast("int").alias("frame_index"), *(strict(c).alias(c) for c in channels))
+    place = F.row_number().over(Window.partitionBy("clip_key").orderBy("frame_index", order)) - 1
+    return typed.select("clip_key", place.alias("position"), "frame_index", F.array(*channels).alias("values"))
+
+
+def missing_reactions(manifest: DataFrame, listing: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """rel_csv, ok and message for each clip of a manifest, by a listing of (reaction, rel_csv) that exist."""
+    there = listing.where(F.col("reaction").isin(*channels)).groupBy("rel_csv").agg(F.count_distinct("reaction").alias("_n"))
+    lacking = F.lit(len(channels)) - F.coalesce("_n", F.lit(0))
+    message = F.when(lacking == 0, "ok").otherwise(F.format_string("missing %d reaction csv(s)", lacking.cast("int")))
+    return manifest.select("rel_csv").distinct().join(there, "rel_csv", "left").select("rel_csv", (lacking == 0).alias("ok"), message.alias("message"))
+
+
+def combine_clips(manifest: DataFrame, reactions: DataFrame, channels: tuple[str, ...] = CHANNELS) -> tuple[DataFrame, DataFrame]:
+    """The driver of combine(): rows of the manifest's complete clips, and an outcome for each of its clips.
+
+    reactions: rel_csv, reaction, frame_index, intensity, line_no, as the readers give them.
+    """
+    outcomes = missing_reactions(manifest, reactions.select("rel_csv", "reaction").distinct(), channels)
+    wanted = reactions.join(outcomes.where("ok").select("rel_csv"), "rel_csv", "left_semi").withColumnRenamed("rel_csv", "clip_key")
+    return combine(wanted, channels, complete=False).withColumnRenamed("clip_key", "rel_csv"), outcomes

@@ -52,8 +52,12 @@ def smiling_raw(happy: Column, smile: Column) -> Column:
     return 0.65 * happy + 0.35 * smile
 
 
-def laughing_raw(happy: Column, smile: Column, jaw: Column) -> Column:
-    motion = clip01(4 * moving_average(F.abs(difference(jaw)), 5))
+def with_jaw_motion(df: DataFrame, jaw: str, out: str = "jaw_motion") -> DataFrame:
+    """Adds four times the smoothed change of jaw from frame to frame, limited to [0, 1]."""
+    return df.withColumn("_step", F.abs(difference(F.col(jaw)))).withColumn(out, clip01(4 * moving_average(F.col("_step"), 5))).drop("_step")
+
+
+def laughing_raw(happy: Column, smile: Column, jaw: Column, motion: Column) -> Column:
     return 0.80 * (0.50 * happy + 0.25 * smile + 0.25 * jaw) + 0.20 * motion
 
 

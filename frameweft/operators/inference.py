@@ -36,3 +36,13 @@ def host(df: DataFrame, load: Callable[[], Model], schema: str, key: str) -> Dat
             yield from attempt(batch)
 
     return df.mapInPandas(run, f"{schema}, reason string")
+
+
+def worker_ids(text: str | None, available: int = 0) -> list[int]:
+    """The ids that a text lists, such as "0, 2"; without a text all that are available, or -1 for none."""
+    if text is None:
+        return list(range(available)) or [-1]
+    ids = [int(x) for x in text.split(",") if x.strip()]
+    if not ids:
+        raise ValueError("no worker ids")
+    return ids

@@ -27,6 +27,19 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames, with a head that nods for 24 of 40 frames, by as much as the event's value says, and that
+    turns as k in one clip of four."""
+    e = frames(spark, sf_dir)
+    wave = F.array(*map(F.lit, WAVE))[(F.col("frame_index") % 4).cast("int")]
+    swing = F.when(F.col("frame_index") % 40 < 24, 10 + F.floor(F.col("cents") / 10000)).otherwise(F.lit(1)).cast("double")
+    yaw = F.when(F.col("clip_key") % 4 == 0, F.col("k")).otherwise(0.0)
+    return e.select("clip_key", "frame_index", (wave * swing).alias("pitch"), yaw.alias("yaw"), ((F.col("event_type") != "error") | (F.col("k") < 80)).alias("detected"))
+
+
+#: A period of the nod.
+WAVE = (0.0, 1.0, 0.0, -1.0)
+
 #: The same in DuckDB SQL, as the beginning of a WITH list.
 FRAMES_SQL = """ev as (
     select user_id as clip_key, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_index,
@@ -35,6 +48,10 @@ FRAMES_SQL = """ev as (
            count(*) over (partition by user_id) as n
     from events)"""
 
+NODS_SQL = f"""{FRAMES_SQL.replace("ev as", "e0 as", 1)}, ev as (
+    select clip_key, frame_index, n, [0.0, 1.0, 0.0, -1.0][1 + frame_index % 4]::double * case when frame_index % 40 < 24 then 10 + cents // 10000 else 1 end as pitch,
+           case when clip_key % 4 = 0 then k else 0.0 end as yaw, event_type <> 'error' or k < 80 as detected from e0)"""
+
 
 def sum_sql(x: str, window: int) -> str:
     """A centred moving sum with the ends repeated; rows need clip_key, frame_index and n."""

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sequence
 from ..operators import audio, combine, detectors, inference, manifest, prosody
 from ..sources import readers, sinks
-from .adapters import FRAMES_SQL, average_sql, frames, gate_sql, sum_sql, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .adapters import FRAMES_SQL, NODS_SQL, average_sql, frames, gate_sql, nods, sum_sql, table
+from .registry import ORACLES, QUERIES, query
 
 _OVER = "over (partition by clip_key order by frame_index)"
 _GATED = f"with {FRAMES_SQL}, sm as (select *, {sum_sql('cents', 7)} as s from ev), {gate_sql('sm', 's', 45000, 35000, 6, 'g')}"
@@ -140,10 +125,9 @@ def detector_smiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_expression_sql("0.80 * (0.50 * e + 0.25 * c + 0.25 * b) + 0.20 * jm", detectors.LAUGHING, f", ch1 as (select *, abs({_diff_sql('b')}) as m0 from ch), ch2 as (select *, least(1.0, greatest(0.0, 4 * {average_sql('m0', 5)})) as jm from ch1)"))
 def detector_laughing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _channels(spark, sf_dir).withColumn("m0", F.abs(sequence.difference(F.col("b"))))
-    motion = sequence.clip01(4 * sequence.moving_average(F.col("m0"), 5))
-    raw = 0.80 * (0.50 * F.col("e") + 0.25 * F.col("c") + 0.25 * F.col("b")) + 0.20 * F.col("jm")
-    return detectors.expression_intensity(df.withColumn("jm", motion), raw, detectors.LAUGHING).select("clip_key", "frame_index", "intensity")
+    df = detectors.with_jaw_motion(_channels(spark, sf_dir), "b")
+    raw = detectors.laughing_raw(F.col("e"), F.col("c"), F.col("b"), F.col("jaw_motion"))
+    return detectors.expression_intensity(df, raw, detectors.LAUGHING).select("clip_key", "frame_index", "intensity")
 
 
 @query(_expression_sql("0.7 * (0.6 * e + 0.4 * c) + 0.7 * (0.8 * (b / 4 + c / 4 + b / 8))", detectors.FROWNING))
@@ -160,10 +144,10 @@ def detector_surprised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.expression_intensity(_channels(spark, sf_dir), raw, detectors.SURPRISED).select("clip_key", "frame_index", "intensity")
 
 
-def _motion_sql(axis: str, other: str, s: detectors.Motion) -> str:
+def _motion_sql(axis: str, other: str, s: detectors.Motion, source: str = FRAMES_SQL) -> str:
     a, v, c = s.weights
     inside = "partition by clip_key, event_id, gate"
-    return f"""with {FRAMES_SQL}, f as (select *, {_fill_sql(axis)} as p0, {_fill_sql(other)} as q0 from ev),
+    return f"""with {source}, f as (select *, {_fill_sql(axis)} as p0, {_fill_sql(other)} as q0 from ev),
     b as (select *, round(p0 - {average_sql('p0', s.baseline)}, 6) as p, round(q0 - {average_sql('q0', s.baseline)}, 6) as q from f),
     d as (select *, {_diff_sql('p')} as v, {_diff_sql('q')} as w from b), a as (select *, {_diff_sql('v')} as acc from d),
     r as (select *, least(1.0, greatest(0.0, {a} * {_norm_sql('p')} + {v} * {_norm_sql('v')} + {c} * {_norm_sql('acc')} - {s.penalty} * {_norm_sql('w')})) * case when detected then 1.0 else 0.0 end as raw from a),
@@ -172,27 +156,23 @@ def _motion_sql(axis: str, other: str, s: detectors.Motion) -> str:
     select clip_key, frame_index, case when gate and turns >= {s.turns} and turns // 2 >= {s.cycles} and span >= {s.span} and speed >= {s.speed} then least(1.0, s) else 0.0 end as intensity from e"""
 
 
-_EASY = detectors.Gate(5, 0.30, 0.15, 3)
-_NOD_V1 = detectors.Motion(_EASY, 31, (0.7, 0.5, 0.4), 0.35, 1)
-
+def _motion(df: DataFrame, axis: str, other: str, spec: detectors.Motion) -> DataFrame:
+    return detectors.motion_intensity(df, axis, other, spec).select("clip_key", "frame_index", "intensity")
 
-def _motion(spark: SparkSession, sf_dir: str, axis: str, other: str, spec: detectors.Motion) -> DataFrame:
-    return detectors.motion_intensity(frames(spark, sf_dir), axis, other, spec).select("clip_key", "frame_index", "intensity")
 
-
-@query(_motion_sql("value", "k", _NOD_V1))
+@query(_motion_sql("pitch", "yaw", detectors.NODDING_V1, NODS_SQL))
 def detector_nodding_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _motion(spark, sf_dir, "value", "k", _NOD_V1)
+    return _motion(nods(spark, sf_dir), "pitch", "yaw", detectors.NODDING_V1)
 
 
-@query(_motion_sql("value", "k", detectors.NODDING))
+@query(_motion_sql("pitch", "yaw", detectors.NODDING, NODS_SQL))
 def detector_nodding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _motion(spark, sf_dir, "value", "k", detectors.NODDING)
+    return _motion(nods(spark, sf_dir), "pitch", "yaw", detectors.NODDING)
 
 
 @query(_motion_sql("k", "value", detectors.HEAD_SHAKING))
 def detector_head_shaking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _motion(spark, sf_dir, "k", "value", detectors.HEAD_SHAKING)
+    return _motion(frames(spark, sf_dir), "k", "value", detectors.HEAD_SHAKING)
 
 
 _KINDS = ("click", "error", "purchase", "signup", "view")
@@ -227,8 +207,9 @@ def chunk_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with others as (select l_orderkey as clip_key, case when l_linenumber % 4 = 3 then 'meta' else printf('chunk_%03d', l_linenumber::int) end as chunk_name, count(*) as n from lineitem group by 1, 2),
-    kept as (select distinct o_orderkey as clip_key, printf('chunk_%03d', (o_custkey % 5)::int) as chunk_name from orders where o_orderstatus = 'F')
-    select o.clip_key, o.chunk_name, n::bigint as n from others o where clip_key in (select clip_key from kept) and (chunk_name = 'meta' or exists (select 1 from kept k where k.clip_key = o.clip_key and k.chunk_name = o.chunk_name))""")
+    kept as (select distinct o_orderkey as clip_key, printf('chunk_%03d', (o_custkey % 5)::int) as chunk_name from orders where o_orderstatus = 'F'),
+    held as (select o.* from others o join kept k using (clip_key, chunk_name))
+    select clip_key, chunk_name, n::bigint as n from held union all select clip_key, chunk_name, n::bigint from others where chunk_name = 'meta' and clip_key in (select clip_key from held)""")
 def prune_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("l_linenumber") % 4 == 3, "meta").otherwise(F.format_string("chunk_%03d", F.col("l_linenumber").cast("int")))
     others = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_key"), name.alias("chunk_name")).groupBy("clip_key", "chunk_name").agg(F.count(F.lit(1)).alias("n"))
@@ -236,12 +217,11 @@ def prune_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.prune(others, kept)
 
 
-_HALF = "(case when x = 0 then 0.0 else round_even(x / u, 0) * u end)"
-
-
-@query(f"with h as (select event_id, cast(cast(value / 500 as float) as double) as x from events), u as (select *, pow(2.0, greatest(floor(log2(x)), -14) - 10) as u from h) select event_id, {_HALF} as half from u")
+@query("""with h as (select event_id, cast(cast((value - 200) * (case when event_type = 'error' then 400.0 else 0.002 end) as float) as double) as x from events), u as (select *, pow(2.0, greatest(floor(log2(nullif(abs(x), 0))), -14) - 10) as u from h)
+    select event_id, case when x = 0 then 0.0 when abs(x) >= 65520 then sign(x) * 'infinity'::double else round_even(x / u, 0) * u end as half from u""")
 def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", scalar.half_precision(F.col("value") / 500).alias("half"))
+    x = (F.col("value") - 200) * F.when(F.col("event_type") == "error", 400.0).otherwise(0.002)
+    return table(spark, sf_dir, "events").select("event_id", scalar.half_precision(x).alias("half"))
 
 
 @query("""with w as (select vec_id, list_transform(embedding, lambda v: v::double) as x from embeddings),
@@ -255,32 +235,50 @@ def waveform_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", F.round("level", 6).alias("rms"), F.when(F.col("level") < 0.125, "NULL").otherwise("infer").alias("action"), F.round(loud[0], 6).alias("first_sample"), F.size("chunks").alias("n_chunks"), F.round(F.col("chunks")[1][0].cast("double"), 6).alias("second_chunk_start"))
 
 
-_TEXTS = """tx as (select l_orderkey as clip_key, l_linenumber as chunk,
-    case when l_linenumber = 7 then 'NULL' else printf('%d.%02d, %d.%02d, %d.%02d', (a // 100)::int, (a % 100)::int, (b // 100)::int, (b % 100)::int, (s // 100)::int, (s % 100)::int) || chr(10) || printf('0.%02d, 1.%02d, 0.%02d', (a % 90)::int, (b % 90)::int, (s % 97)::int) || case when l_linenumber = 3 then chr(10) || 'noise' else '' end end as text
-    from (select l_orderkey, l_linenumber, l_partkey % 250 as a, l_suppkey % 260 as b, cast(l_quantity as bigint) * 3 as s from lineitem where l_orderkey % 4 = 0 qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) = 1))"""
+_TEXTS = """tx as (select user_id as clip_key, event_id as chunk,
+    case event_type when 'view' then 'NULL' || case when c % 3 = 0 then chr(10) || 'noise' else '' end
+         when 'signup' then case when c % 2 = 0 then '  ' else '-0.' || printf('%02d', (c % 90)::int) || ', 0.40, 0.9' end
+         else printf('%d.%02d, %d.%03d, %d.%02d', (a // 100)::int, (a % 100)::int, (b // 1000)::int, (b % 1000)::int, (s // 100)::int, (s % 100)::int) || chr(10) || printf('0.%02d, 1.%02d, -0.%02d', (a % 90)::int, (b % 90)::int, (s % 97)::int)
+              || case when event_type = 'error' then chr(10) || 'noise' || chr(10) || 'Null' when event_type = 'click' then chr(10) || ' 0.125, 0.375 ,0.625 ' || chr(10) || '5.0, 6.0, 0.7' else '' end end as text
+    from (select *, c % 250 as a, c % 2600 as b, c % 150 as s from (select user_id, event_id, event_type, cast(round(value * 100) as bigint) as c from events)))"""
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
-    a, b, s = F.col("l_partkey") % 250, F.col("l_suppkey") % 260, F.col("l_quantity").cast("long") * 3
-    two = lambda v: (F.floor(v / 100), v % 100)
-    first = F.format_string("%d.%02d, %d.%02d, %d.%02d", *two(a), *two(b), *two(s))
-    second = F.format_string("0.%02d, 1.%02d, 0.%02d", a % 90, b % 90, s % 97)
-    text = F.when(F.col("l_linenumber") == 7, "NULL").otherwise(F.concat(first, F.lit("\n"), second, F.when(F.col("l_linenumber") == 3, "\nnoise").otherwise("")))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").withColumn("_r", place).where("_r = 1")
-    return rows.select(F.col("l_orderkey").alias("clip_key"), F.col("l_linenumber").alias("chunk"), text.alias("text"))
+    c, kind = F.col("c"), F.col("event_type")
+    a, b, s = c % 250, c % 2600, c % 150
+    parts = lambda v, n: (F.floor(v / n), v % n)
+    lines = F.concat(F.format_string("%d.%02d, %d.%03d, %d.%02d", *parts(a, 100), *parts(b, 1000), *parts(s, 100)), F.lit("\n"), F.format_string("0.%02d, 1.%02d, -0.%02d", a % 90, b % 90, s % 97))
+    lines = F.concat(lines, F.when(kind == "error", "\nnoise\nNull").when(kind == "click", "\n 0.125, 0.375 ,0.625 \n5.0, 6.0, 0.7").otherwise(""))
+    null = F.concat(F.lit("NULL"), F.when(c % 3 == 0, "\nnoise").otherwise(""))
+    early = F.when(c % 2 == 0, "  ").otherwise(F.format_string("-0.%02d, 0.40, 0.9", c % 90))
+    rows = table(spark, sf_dir, "events").withColumn("c", F.round(F.col("value") * 100).cast("long"))
+    return rows.select(F.col("user_id").alias("clip_key"), F.col("event_id").alias("chunk"), F.when(kind == "view", null).when(kind == "signup", early).otherwise(lines).alias("text"))
+
 
+def _lines_sql(sign: str) -> str:
+    part = lambda i: f"try_cast(nullif(regexp_extract(line, '^\\s*(-?\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*,\\s*({sign}\\d+(?:\\.\\d+)?)\\s*$', {i}), '') as double)"
+    return f"""{_TEXTS}, ln as (select clip_key, chunk, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from tx),
+    pl as (select *, {part(1)} as a, {part(2)} as b, {part(3)} as s from ln)"""
 
-_LINES = f"""{_TEXTS}, ln as (select clip_key, chunk, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from tx),
-    pl as (select *, try_cast(nullif(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)?)\\s*,\\s*(\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*$', 1), '') as double) as a, try_cast(nullif(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)?)\\s*,\\s*(\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*$', 2), '') as double) as b, try_cast(nullif(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)?)\\s*,\\s*(\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*$', 3), '') as double) as s from ln)"""
 
+_HELD = "b > a and a >= 0 and b <= 2.4 + 1e-6 and s >= 0.5"
 
-@query(f"with {_LINES} select clip_key, chunk, line_no::int as line_no, a as start_s, b as end_s, least(s, 1.0) as score from pl where b > a and a >= 0 and b <= 2.4 + 1e-6 and s >= 0.5")
+
+@query(f"with {_lines_sql('')} select clip_key, chunk, line_no::int as line_no, a as start_s, b as end_s, least(s, 1.0) as score from pl where {_HELD}")
 def prosody_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prosody.clean(_texts(spark, sf_dir), ["clip_key", "chunk"], 2.4)
 
 
-@query(f"""with {_LINES}, sp as (select clip_key, chunk, line_no, s, greatest(0, floor(a * 25.0::double))::bigint as f, least(59, ceil(b * 25.0::double) - 1)::bigint as t from pl where b > a),
+@query(f"""with {_lines_sql('')}, k as (select clip_key, chunk, string_agg(printf('%.2f, %.2f, %.2f', a, b, least(s, 1.0)), chr(10) order by line_no) as t from pl where {_HELD} group by 1, 2)
+    select clip_key, chunk, coalesce(t, 'NULL') as kept_text from tx left join k using (clip_key, chunk)""")
+def prosody_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("clip_key", "chunk", prosody.cleaned_text("text", 2.4).alias("kept_text"))
+
+
+_SPANS = "sp as (select clip_key, chunk, line_no, s, greatest(0, floor(a * 25.0::double))::bigint as f, least(59, ceil(b * 25.0::double) - 1)::bigint as t from pl where b > a)"
+
+
+@query(f"""with {_lines_sql('-?')}, {_SPANS},
     cv as (select clip_key, chunk, line_no, s, unnest(range(f, t + 1)) as frame_index from sp where f <= t), la as (select clip_key, chunk, frame_index, max_by(s, line_no) as s from cv group by all),
     ev as (select clip_key, chunk, unnest(range(0, 60)) as frame_index from tx)
     select clip_key, chunk, frame_index::int as frame_index, coalesce(s, 0.0) as intensity_score from ev left join la using (clip_key, chunk, frame_index)""")
@@ -288,28 +286,51 @@ def prosody_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prosody.expand(_texts(spark, sf_dir), ["clip_key", "chunk"], 25, 60)
 
 
-@query(f"with {_LINES}, c as (select clip_key, chunk, count(*) filter (where b > a) as n_valid, count(*) filter (where not coalesce(b > a, false) and upper(trim(line)) <> 'NULL') as n_errors from pl where trim(line) <> '' group by all) select clip_key, chunk, n_valid, n_errors, n_valid = 0 and n_errors = 0 as is_null, not contains(text, 'NULL') as non_null from c join tx using (clip_key, chunk)")
+@query(f"""with {_lines_sql('-?')}, {_SPANS}, v as (select clip_key, chunk, count(*) as n from sp where f <= t group by 1, 2),
+    c as (select clip_key, chunk, count(*) filter (where trim(line) <> '' and not coalesce(b > a, false) and upper(trim(line)) <> 'NULL') as n_errors, count(*) filter (where upper(trim(line)) = 'NULL') as nulls from pl group by 1, 2)
+    select clip_key, chunk, coalesce(v.n, 0)::bigint as n_valid, n_errors, coalesce(v.n, 0) = 0 and nulls > 0 as is_null, not contains(text, 'NULL') as non_null from tx join c using (clip_key, chunk) left join v using (clip_key, chunk)""")
 def prosody_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _texts(spark, sf_dir)
-    return prosody.line_counts(texts, ["clip_key", "chunk"]).join(texts, ["clip_key", "chunk"]).select("clip_key", "chunk", "n_valid", "n_errors", "is_null", (~F.col("text").contains("NULL")).alias("non_null"))
+    texts = _texts(spark, sf_dir).withColumn("non_null", ~F.col("text").contains("NULL"))
+    return prosody.line_counts(texts, ["clip_key", "chunk", "non_null"])
 
 
-@query("""with l as (select c_custkey, ' ' || c_name || '.mp4 , emo/' || c_mktsegment || '.csv,' || case when c_custkey % 3 = 0 then '' else ' f/' || c_nationkey || '.pkl' || case when c_custkey % 5 = 0 then ',x' else '' end end || ' ' as value from customer where c_custkey % 3 <> 0 or c_custkey % 2 = 0)
+@query("""with l as (select c_custkey, ' ' || c_name || '.mp4 , emo/' || c_mktsegment || '.csv,' || case when c_custkey % 3 = 0 then '' else ' f/' || c_nationkey || '.pkl' || case when c_custkey % 5 = 0 then ',x' else '' end end || ' ' as value from customer)
     select c_custkey, trim(string_split(trim(value), ',')[1]) as video_path, trim(string_split(trim(value), ',')[2]) as fer_path, trim(string_split(trim(value), ',')[3]) as face_path from l where trim(value) <> '' and len(string_split(trim(value), ',')) = 3""")
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" f/"), F.col("c_nationkey").cast("string"), F.lit(".pkl"), F.when(F.col("c_custkey") % 5 == 0, ",x").otherwise("")))
     value = F.concat(F.lit(" "), "c_name", F.lit(".mp4 , emo/"), "c_mktsegment", F.lit(".csv,"), tail, F.lit(" "))
-    return manifest.parse_manifest(table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0 or c_custkey % 2 = 0").select("c_custkey", value.alias("value")))
+    return manifest.parse_manifest(table(spark, sf_dir, "customer").select("c_custkey", value.alias("value")))
 
 
-@query("""with r as (select user_id as clip_key, event_id as line_no, cast(event_id % 40 as varchar) || case when event_id % 7 = 0 then '.9' when event_id % 11 = 0 then 'x' else '' end as f, case when event_id % 13 = 0 then 'bad' else cast(cast(round(value * 100) as bigint) as varchar) || 'e-4' end as happy from events)
-    select clip_key, cast(trunc(cast(f as double)) as int) as frame_index, max_by(least(1.0, greatest(0.0, cast(happy as double))), line_no) as happy from r where f not like '%x' and happy <> 'bad' group by 1, 2""")
-def emotion_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ROWS = """r as (select user_id as clip_key, event_id as line_no, cast(event_id % 40 as varchar) || case when event_id % 7 = 0 then '.9' when event_id % 11 = 0 then 'x' else '' end as f,
+    case when event_id % 13 = 0 then 'bad' when event_id % 17 = 0 then '' else cast(cast(round(value * 100) as bigint) as varchar) || 'e-4' end as happy, case when event_type = 'error' then 'bad' else '-0.5' end as angry from events)"""
+
+
+def _score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     index = F.concat((e % 40).cast("string"), F.when(e % 7 == 0, ".9").when(e % 11 == 0, "x").otherwise(""))
-    happy = F.when(e % 13 == 0, "bad").otherwise(F.concat(F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("e-4")))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_key"), e.alias("line_no"), index.alias("frame_index"), happy.alias("happy"))
-    return readers.emotion_scores(rows, ["happy"])
+    happy = F.when(e % 13 == 0, "bad").when(e % 17 == 0, "").otherwise(F.concat(F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("e-4")))
+    angry = F.when(F.col("event_type") == "error", "bad").otherwise("-0.5")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_key"), e.alias("line_no"), index.alias("frame_index"), happy.alias("happy"), angry.alias("angry"))
+
+
+@query(f"with {_ROWS} select clip_key, cast(f as int) as frame_index, max_by(least(1.0, greatest(0.0, cast(coalesce(nullif(happy, ''), '0') as double))), line_no) as happy from r where f not like '%x' and f not like '%.%' and happy <> 'bad' group by 1, 2")
+def emotion_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.emotion_scores(_score_rows(spark, sf_dir), ["happy"])
+
+
+@query(f"with {_ROWS} select clip_key, cast(f as int) as frame_index, max_by(least(1.0, greatest(0.0, cast(coalesce(nullif(happy, ''), '0') as double))), line_no) as happy, 0.0::double as angry from r where f not like '%x' and f not like '%.%' and happy <> 'bad' and angry <> 'bad' group by 1, 2")
+def emotion_pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row stays only if both of its scores are numbers."""
+    return readers.emotion_scores(_score_rows(spark, sf_dir), ["happy", "angry"])
+
+
+@query(f"with {_ROWS} select clip_key, cast(trunc(cast(f as double)) as int) as frame_index, max_by(cast(happy as double) - 1, line_no) as less from (select * from r where f not like '%x' and happy not in ('bad', '')) group by 1, 2")
+def reaction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes may be decimals, scores aren't limited, and an empty score is no number."""
+    rows = _score_rows(spark, sf_dir).drop("angry")
+    column = readers.score_column([c for c in rows.columns if c not in ("clip_key", "line_no")], "smiling_intensity")
+    return readers.reaction_scores(rows, column).select("clip_key", "frame_index", (F.col(column) - 1).alias("less"))
 
 
 @query("""with s as (select user_id as clip_key, cast(event_id % 90 as int) as frame_index, max(value / 500) as score from events group by all), l as (select clip_key, unnest(range(0, max(frame_index) + 1))::int as frame_index from s group by clip_key)
@@ -319,11 +340,11 @@ def densified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.densified(s, "score").select("clip_key", "frame_index", F.round("score", 6).alias("score"))
 
 
-@query("""with v as (select o_orderkey as key, 1 + o_custkey % 7 as frames from orders where o_orderkey % 5 <> 1), t as (select l_orderkey as key, count(*) as rows from lineitem where l_orderkey % 7 <> 2 group by 1)
+@query("""with v as (select o_orderkey as key, 1 + o_custkey % 7 as frames from orders where o_orderstatus <> 'P'), t as (select l_orderkey as key, count(*) as rows from lineitem where l_quantity > 10 group by 1)
     select key, coalesce(frames, 0) as frames, coalesce(rows, 0) as rows, reason from (select key, frames, rows, case when rows is null then 'no_table' when frames is null then 'no_video' when rows <> frames then 'count_differs' end as reason from v full join t using (key)) where reason is not null""")
 def incomplete_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    videos = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 1").select(F.col("o_orderkey").alias("key"), (1 + F.col("o_custkey") % 7).alias("frames"))
-    tables = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 <> 2").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    videos = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"), (1 + F.col("o_custkey") % 7).alias("frames"))
+    tables = table(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
     return manifest.incomplete(videos, tables, ["key"]).na.fill(0, ["frames", "rows"])
 
 
@@ -346,19 +367,24 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.pending(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
-_NAMES = """ex as (select distinct 'v' || (c_custkey % 50) || '_' || c_nationkey || '_' || lpad(cast(c_custkey as varchar), 6, '0') || '.2' as full_name from customer), fo as (select distinct left(full_name, length(full_name) - (length(full_name) + ascii(right(full_name, 3))) % 6) as name from ex)"""
+_NAMES = """ex as (select distinct 'v' || (c_custkey % 50) || '_' || c_nationkey || '_' || lpad(cast(c_custkey as varchar), 6, '0') || '.2' as full_name from customer),
+    cu as (select distinct full_name, left(full_name, length(full_name) - (length(full_name) + ascii(right(full_name, 3))) % 6) as name from ex),
+    fo as (select name from cu union select full_name from cu where ascii(right(full_name, 3)) % 5 = 0 union select 'x' || name from cu where ascii(right(full_name, 4)) % 7 = 0 union select replace(name, '_', '-') from cu)"""
 
 
 def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer")
     full = c.select(F.concat(F.lit("v"), (F.col("c_custkey") % 50).cast("string"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit("_"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(".2")).alias("name")).distinct()
-    n = F.char_length("name")
-    return full.select(F.substring(F.col("name"), F.lit(1), n - (n + F.ascii(F.right(F.col("name"), F.lit(3)))) % 6).alias("name")).distinct(), full
+    n, last = F.char_length("name"), lambda k: F.ascii(F.right(F.col("name"), F.lit(k)))
+    cut = full.select(F.col("name").alias("full"), F.substring(F.col("name"), F.lit(1), n - (n + last(3)) % 6).alias("name"))
+    found = cut.select("name").unionByName(full.where(last(3) % 5 == 0)).unionByName(cut.where(F.ascii(F.right("full", F.lit(4))) % 7 == 0).select(F.concat(F.lit("x"), "name").alias("name"))).unionByName(cut.select(F.replace("name", F.lit("_"), F.lit("-")).alias("name")))
+    return found.distinct(), full
 
 
-@query(f"""with {_NAMES}, j as (select f.name, count(*) filter (where e.full_name = f.name) as same, count(*) filter (where starts_with(e.full_name, f.name) and e.full_name <> f.name) as n, min(case when starts_with(e.full_name, f.name) and e.full_name <> f.name then e.full_name end) as t
-    from fo f left join ex e on regexp_extract(e.full_name, '^(.+_)[^_]+$', 1) = regexp_extract(f.name, '^(.+_)[^_]+$', 1) group by 1)
-    select name, case when same > 0 then 'already_correct' when n = 1 then 'renamed' when n > 1 then 'ambiguous' else 'no_match' end as outcome, case when same = 0 and n = 1 then t end as target from j""")
+@query(f"""with {_NAMES}, j as (select f.name, regexp_extract(f.name, '^(.+_)([^_]+)$', 1) as prefix, count(e.full_name) as known, count(*) filter (where e.full_name = f.name) as same, count(*) filter (where starts_with(e.full_name, f.name) and e.full_name <> f.name) as n, min(case when starts_with(e.full_name, f.name) and e.full_name <> f.name then e.full_name end) as t
+    from fo f left join ex e on regexp_extract(e.full_name, '^(.+_)[^_]+$', 1) = nullif(regexp_extract(f.name, '^(.+_)[^_]+$', 1), '') group by 1, 2),
+    o as (select name, t, case when name in (select full_name from ex) then 'already_complete' when prefix = '' then 'invalid_filename_pattern' when known = 0 then 'prefix_not_in_expected' when n > 1 then 'ambiguous_match' when n = 0 then 'not_truncated_or_no_match' when t in (select name from fo) then 'target_exists' else 'renamed' end as outcome from j)
+    select name, outcome, case when outcome = 'renamed' then t end as target from o""")
 def repaired_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.repaired_names(*_names(spark, sf_dir))
 
@@ -381,12 +407,13 @@ def pose_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select vec_id, list_transform(range(0, 32), lambda i: embedding[2 * i + 1]::double * 2 + 0.5) as xs, list_transform(range(0, 32), lambda i: embedding[2 * i + 2]::double * 2 + 0.5) as ys from embeddings),
-    b as (select vec_id, greatest(0, least(1, list_min(xs))) as x0, greatest(0, least(1, list_min(ys))) as y0, greatest(0, least(1, list_max(xs))) as x1, greatest(0, least(1, list_max(ys))) as y1 from p)
-    select vec_id, round(x0, 6) as x0, round(y1, 6) as y1, round_even(x0 * 640, 0)::int as left_px, round_even(y0 * 480, 0)::int as top_px, round_even(x1 * 640, 0)::int as right_px, round_even(y1 * 480, 0)::int as bottom_px from b""")
+    b as (select vec_id, greatest(0, least(1, list_min(xs))) as x0, greatest(0, least(1, list_min(ys))) as y0, greatest(0, least(1, list_max(xs))) as x1, greatest(0, least(1, list_max(ys))) as y1 from p where vec_id % 10 <> 0)
+    select vec_id, round(x0, 6) as x0, round(y1, 6) as y1, round_even(x0 * 640, 0)::int as left_px, round_even(y0 * 480, 0)::int as top_px, round_even(x1 * 640, 0)::int as right_px, round_even(y1 * 480, 0)::int as bottom_px from embeddings left join b using (vec_id)""")
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row in ten has no landmarks, and so no box."""
     points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(F.col("embedding")[2 * i].cast("double") * 2 + 0.5, F.col("embedding")[2 * i + 1].cast("double") * 2 + 0.5))
     box, px = scalar.bounding_box("points", 640, 480)
-    df = table(spark, sf_dir, "embeddings").withColumn("points", points).select("vec_id", box.alias("box"), px.alias("px"))
+    df = table(spark, sf_dir, "embeddings").withColumn("points", F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<array<double>>")).otherwise(points)).select("vec_id", box.alias("box"), px.alias("px"))
     return df.select("vec_id", F.round(F.col("box")[0], 6).alias("x0"), F.round(F.col("box")[3], 6).alias("y1"), *(F.col("px")[i].alias(n) for i, n in enumerate(("left_px", "top_px", "right_px", "bottom_px"))))
 
 
@@ -455,3 +482,6 @@ def hosted_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_id(model):
     return lambda batch: model(batch).assign(id=batch["id"])[["id", "clip_key", "frame_index", "happy"]]
+
+
+from . import file_queries  # noqa: E402, F401  registers its own
