@@ -69,8 +69,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated line of documents that is removed, with the document that keeps it."""
-    return repeated_units(_documents(spark, sf_dir)).withColumnsRenamed({"first_id": "first_doc_id"})
+    """Every line and sentence of documents in a repeated passage of 30 words or more of whole ones, with the document that
+    keeps it. A passage of 50 words that begins and ends within sentences holds so many of whole ones as a rule."""
+    return repeated_units(_documents(spark, sf_dir), min_run=30).withColumnsRenamed({"first_id": "first_doc_id"})
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,26 +94,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op9_line_hash_dedup": r"""
         with lines as (
-            select doc_id, unnest(regexp_extract_all(text, '[^\n\x0b\x0c\r]+')) as line,
-                   generate_subscripts(regexp_extract_all(text, '[^\n\x0b\x0c\r]+'), 1) as no
+            select doc_id, unnest(regexp_extract_all(text, '[^\n\x0b\x0c\r]+|[\n\x0b\x0c\r]+')) as line,
+                   generate_subscripts(regexp_extract_all(text, '[^\n\x0b\x0c\r]+|[\n\x0b\x0c\r]+'), 1) as no
             from documents where doc_id is not null),
-        units as (
-            select doc_id, (no - 1)::int as unit_no, line,
-                   list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t]+'), lambda x: x <> '') as words,
-                   sum(length(line)) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding) as before,
-                   no
+        pieces as (
+            select doc_id, no, unnest(regexp_extract_all(line, '(?s)[ \t]*[^ \t]*?[.!?](?:[ \t]+|$)|[ \t]*[^ \t].*?[.!?](?:[ \t]+|$)|.+')) as piece,
+                   generate_subscripts(regexp_extract_all(line, '(?s)[ \t]*[^ \t]*?[.!?](?:[ \t]+|$)|[ \t]*[^ \t].*?[.!?](?:[ \t]+|$)|.+'), 1) as part
             from lines),
         placed as (
-            select u.*, len(words)::int as n_words, array_to_string(words, ' ') as unit from units u where len(words) >= 8),
+            select *, coalesce(sum(length(piece)) over (partition by doc_id order by no, part rows between unbounded preceding and 1 preceding), 0) as before,
+                   list_filter(string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+            from pieces),
+        units as (
+            select doc_id, (row_number() over (partition by doc_id order by no, part) - 1)::int as unit_no, len(words)::int as n_words, array_to_string(words, ' ') as unit,
+                   (before + length(regexp_extract(piece, '^[\x20\x09-\x0D]*')))::int as start,
+                   (before + length(piece) - length(regexp_extract(piece, '[\x20\x09-\x0D]*$')))::int as "end"
+            from placed where len(words) > 0),
         ranked as (
             select *, count(*) over (partition by unit) as copies,
                    first_value(doc_id) over (partition by unit order by doc_id, unit_no) as first_doc_id,
                    first_value(unit_no) over (partition by unit order by doc_id, unit_no) as first_unit
-            from placed)
-        select r.doc_id, unit_no, (coalesce(before, 0) + no - 1)::int as start,
-               (coalesce(before, 0) + no - 1 + length(line))::int as "end",
-               n_words, first_doc_id, first_unit, copies
-        from ranked r where doc_id <> first_doc_id or unit_no <> first_unit""",
+            from units),
+        runs as (
+            select *, unit_no - row_number() over (partition by doc_id order by unit_no) as run from ranked where copies > 1),
+        counted as (
+            select *, (sum(n_words) over (partition by doc_id, run))::int as run_words from runs)
+        select doc_id, unit_no, start, "end", n_words, doc_id = first_doc_id and unit_no = first_unit as kept, first_doc_id, first_unit, copies, run_words
+        from counted where run_words >= 30""",
     "op10_exact_dedup": r"""
         with rows as (
             select doc_id, length(coalesce(text, '')) as chars,
