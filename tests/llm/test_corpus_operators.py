@@ -139,27 +139,62 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def passages_by_brute_force(rows, n=50):
+    """The words of each (id, text) that lie in a run of n words which occurs elsewhere, and in one that occurs earlier."""
+    words = {(i, t): [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for i, t in rows}
+    seen = defaultdict(set)
+    for (i, t), w in words.items():
+        for p in range(len(w) - n + 1):
+            seen[tuple(x[2] for x in w[p : p + n])].add((i, p, t))
+    covered, later = defaultdict(set), defaultdict(set)
+    for at in seen.values():
+        least = min((i, p) for i, p, _ in at)
+        for i, p, t in at if len(at) > 1 else ():
+            covered[i, t].update(range(p, p + n))
+            if (i, p) != least:
+                later[i, t].update(range(p, p + n))
+    return words, covered, later
+
+
+def held_passages(found, words):
+    """The words that rows cover, and those that may go."""
+    covered, gone = defaultdict(set), defaultdict(set)
+    for r in found:
+        ((key, w),) = [(k, w) for k, w in words.items() if k[0] == r.doc_id]
+        own = {k for k, (s, e, _) in enumerate(w) if s >= r.start and e <= r.end}
+        assert len(own) == r.n_words and w[min(own)][0] == r.start and w[max(own)][1] == r.end
+        covered[key] |= own
+        if not r.kept:
+            gone[key] |= own
+    return covered, gone
+
+
 def test_passages(spark, corpus):
-    texts = {r.doc_id: r.text for r in corpus.collect() if r.doc_id is not None}
-    words = {i: [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for i, t in texts.items()}
-
-    def repeated(n):
-        seen, out = defaultdict(set), defaultdict(set)
-        for i, w in words.items():
-            for p in range(len(w) - n + 1):
-                seen[tuple(x[2] for x in w[p : p + n])].add((i, p))
-        for at in seen.values():
-            for i, p in at if len(at) > 1 else ():
-                out[i].update(range(p, p + n))
-        return out
-
-    must, may, got = repeated(50), repeated(35), defaultdict(set)
-    for r in repeated_passages(corpus).collect():
-        got[r.doc_id].update(k for k, (s, e, _) in enumerate(words[r.doc_id]) if s >= r.start and e <= r.end)
-    assert must and all(got[i] <= may[i] for i in got)
-    for i, w in must.items():
-        # what is missing lies at an end of a passage, less than a window from what is covered
-        assert got[i] and all(min(abs(k - m) for m in got[i]) < 16 for k in w - got[i])
+    rows = [(r.doc_id, r.text) for r in corpus.collect() if r.doc_id is not None and r.text]
+    words, covered, later = passages_by_brute_force(rows)
+    found = repeated_passages(corpus).collect()
+    assert held_passages(found, words) == (covered, later) and covered and all(r.passage_words >= 50 for r in found)
+
+
+def test_passages_with_ends_in_common(spark):
+    """Texts that share pieces of each other's passages, of every length about 50, copies, and texts of one word."""
+    rng = random.Random(21)
+    base = prose(rng, 400).split(" ")
+    texts = [" ".join(base), " ".join(base), "la " * 130, "la " * 49 + "lo " * 60]
+    for k in range(120):
+        at, n = rng.randrange(340), rng.choice((34, 35, 48, 49, 50, 51, 52, 60, 64, 65, 66, 90))
+        texts.append(f"{prose(rng, rng.randrange(20))}\n{' '.join(base[at : at + n])} {prose(rng, rng.randrange(25))} {' '.join(base[at // 2 : at // 2 + rng.randrange(70)])}")
+    rows = list(enumerate(texts))
+    words, covered, later = passages_by_brute_force(rows)
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").withColumns({"id": F.lit("x"), "spans": F.lit(1)}).repartition(5)
+    assert held_passages(repeated_passages(docs).collect(), words) == (covered, later)
+
+
+def test_passages_of_texts_under_one_id(spark):
+    rng = random.Random(22)
+    one, two = prose(rng, 60), prose(rng, 80)
+    docs = spark.createDataFrame([(1, one), (1, two), (2, "x " + two), (3, one + " y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.kept) for r in repeated_passages(docs).collect()) == [(1, 60, True), (1, 80, True), (2, 80, False), (3, 60, False)]
 
 
 def test_fuzzy_lines(spark):
