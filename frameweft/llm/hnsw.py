@@ -16,13 +16,14 @@ from .shared import materialize
 class HnswConfig:
     """links: of a node on the upper levels; twice as many on the lowest. ef_build,
     ef_search: nodes that a search keeps. shard: distinct vectors per graph, about.
-    queries: distinct query vectors that a task searches a shard for, about."""
+    queries: distinct query vectors that a task searches a shard for, about; a graph is copied once for
+    so many, and so is small beside them."""
 
     links: int = 16
     ef_build: int = 64
     ef_search: int = 96
     shard: int = 10_000
-    queries: int = 4_096
+    queries: int = 65_536
     batch: int = 512
     expand: int = 4
     seed: int = 5
@@ -30,9 +31,16 @@ class HnswConfig:
 
 def augmented(vectors: np.ndarray) -> np.ndarray:
     """The vectors with one component more, so that all have the same norm: among such,
-    the largest inner product is the smallest distance. A query has 0 there."""
-    square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    return np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
+    the largest inner product is the smallest distance. A query has 0 there. The vectors are scaled
+    so that their largest component is about 1."""
+    scaled = unit(vectors)
+    square = (scaled**2).sum(axis=1)
+    return np.concatenate([scaled, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """vectors by a power of two, which loses nothing, so that the largest component lies below 1."""
+    return np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max())[1])) if vectors.size else vectors
 
 
 def _search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, ef: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +198,7 @@ def _index(cfg: HnswConfig):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         dim, shard = (k.as_py() for k in key)
         table = table.sort_by("cid")
-        vectors = table.column("vector").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
+        vectors = table.column("vector").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, dim)
         graph = build(augmented(vectors), cfg)
         lists = table.column("ids").combine_chunks()
         row = {"dim": dim, "shard": shard, "n": len(vectors), "vectors": vectors.tobytes(), "ids": lists.values.to_numpy(zero_copy_only=False).astype("<i8").tobytes(), "id_counts": np.diff(lists.offsets.to_numpy()).astype("<i4").tobytes(), "level_sizes": [len(v) for v in graph.nodes], "nodes": np.concatenate(graph.nodes).astype("<i4").tobytes(), "links": np.concatenate([v.ravel() for v in graph.links]).astype("<i4").tobytes()}
@@ -217,20 +225,19 @@ def _answers(cfg: HnswConfig, k: int):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if index.num_rows and queries.num_rows:
             row = index.to_pylist()[0]
-            vectors = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], -1)
+            vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], -1)
             x, graph = augmented(vectors), _load(row, cfg.links)
             counts = np.frombuffer(row["id_counts"], "<i4").astype(np.int64)
             ids, first = np.frombuffer(row["ids"], "<i8"), np.concatenate([[0], np.cumsum(counts)])
             cids = queries.column("cid").to_numpy()
-            q = queries.column("vector").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(cids), -1).astype(np.float32)
-            wide = vectors.astype(np.float64)
+            q = queries.column("vector").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(cids), -1)
+            near = np.concatenate([np.array([unit(v) for v in q]).reshape(q.shape).astype(np.float32), np.zeros((len(q), 1), np.float32)], axis=1)
             for lo in range(0, len(q), cfg.batch):
-                part = q[lo : lo + cfg.batch]
-                plus = np.concatenate([part, np.zeros((len(part), 1), np.float32)], axis=1)
+                plus = near[lo : lo + cfg.batch]
                 found, _ = _search(x, graph.links[-1], graph.entries(x, plus, cfg.expand), plus, max(cfg.ef_search, k), cfg.expand)
                 for i, own in enumerate(found):
                     own = own[own >= 0]
-                    score = np.array([np.dot(wide[j], part[i].astype(np.float64)) for j in own], np.float64)
+                    score = np.array([np.dot(vectors[j], q[lo + i]) for j in own], np.float64)
                     every = np.concatenate([ids[first[j] : first[j + 1]] for j in own]) if len(own) else np.zeros(0, np.int64)
                     scores = np.repeat(score, counts[own])
                     best = np.lexsort((every, -scores))[:k]
@@ -250,7 +257,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
     a hash; each shard's graph is one row of flat arrays. Distinct query vectors
     meet each shard in groups of about cfg.queries, and the shards' answers are
     merged. That is every query against every shard, in blocks; a task holds one
-    graph and one group.
+    graph and one group. Graphs are built and searched in single precision, on scaled
+    vectors; scores are of the vectors as given, in double precision.
 
     Vectors that are null, zero or hold a null or non-finite component take no
     part, nor do rows with a null id. Vectors of different lengths aren't compared.
@@ -261,7 +269,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
 
     def valid(df: DataFrame) -> DataFrame:
         finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-        return df.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda v: v != 0))
+        return df.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda v: v != 0))
 
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = valid(vectors).withColumn("place", place).where(f"place <= {k + 1}")

@@ -364,6 +364,15 @@ def test_nearest(spark):
     assert hits / (45 * 20) >= 0.9 and set(got) == set(range(0, 900, 20))
 
 
+def test_nearest_in_double_precision(spark):
+    """Scores are of the vectors as given: 0.1 * 6 isn't that of single precision, and large components stay finite."""
+    vectors = spark.createDataFrame([(0, [0.1, 1.0]), (1, [6.0, 0.0]), (2, [1e200, 0.0]), (3, [-1e-200, 1e-9]), (4, [])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in nearest(vectors, vectors.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(2, 0.1 * 1e200), (1, 0.1 * 6.0), (3, 1e-9)]
+    none = vectors.limit(0)
+    assert nearest(none, none).count() == nearest(vectors, none).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
