@@ -11,11 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameweft.llm import secrets as scan
-from frameweft.llm import simhash
 from frameweft.llm.bpe import round_trip_digests
 from frameweft.llm.components import connected_components
 from frameweft.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from frameweft.llm.fuzzy_lines import fuzzy_lines
+from frameweft.llm.fuzzy_lines import LineConfig, fuzzy_lines
 from frameweft.llm.hnsw import nearest
 from frameweft.llm.line_hash import remove_spans, repeated_units
 from frameweft.llm.minhash_dedup import drop_near_duplicates, near_duplicates
@@ -216,62 +215,49 @@ def edits(x, y):
     return row[-1]
 
 
-def test_edits():
-    rng = random.Random(7)
-    for _ in range(400):
-        x = "".join(rng.choice("abé ") for _ in range(rng.randint(0, 90)))
-        y = "".join(c for c in x if rng.random() > 0.1) + "".join(rng.choice("abé ") for _ in range(rng.randint(0, 9)))
-        d = edits(x, y)
-        assert simhash.within(x, y, d) and simhash.within(y, x, d + 1) and not simhash.within(x, y, d - 1)
-
-
-def test_fuzzy_lines_against_brute_force(spark):
-    """Many near copies of two lines, so that buckets are long, beside others and odd characters."""
+@pytest.mark.parametrize("split", [256, 3])
+def test_fuzzy_lines_against_brute_force(spark, split):
+    """Many near copies of a few lines, long, short and without spaces, beside others and odd characters. Edit
+    similarity alone decides; with the small split, all buckets are large ones."""
     rng = random.Random(9)
-    texts = [None, "", "\n\n", "\u4e00 \u201cQuoted\u201d \u0130 \U0001f642\n7", prose(rng, 700)]
-    for base in (prose(rng, 60), prose(rng, 45)):
-        for _ in range(150):
-            words = base.split(" ")
-            words[rng.randrange(len(words))] += rng.choice(("x", "yz", " new", ""))
-            texts.append(prose(rng, 8) + "\n" + " ".join(words))
+    texts = [None, "", "\n\n", "\u4e00 \u201cQuoted\u201d x\u0301 \U0001f642\n7", prose(rng, 700)]
+    for base in (prose(rng, 60), prose(rng, 25), "Chapter twelve of the handbook", "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(80))):
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(("", "x", "yz", " "))
+            texts.append(prose(rng, 8) + "\n" + "".join(own))
     rows = [(i, t, None) for i, t in enumerate(texts)]
     rows += [(10, texts[11], "extra"), (None, texts[12], None)]
     lines = defaultdict(list)
     for i, t, _ in rows:
         for k, line in enumerate((t or "").split("\n") if i is not None else ()):
-            norm = " ".join(re.findall(r"[^\W_]+", "".join(c.lower()[0] for c in line)))
+            norm = " ".join(re.findall(r"[^\W_]+", line.lower()))
             if norm:
                 lines[norm].append((i, k))
-    names, part = list(lines), {}
-    hashes = []
-    for name in names:
-        words = [int(simhash.hash_words(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for w in name.split(" ")]
-        hashes.append(sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words)))
+    names = list(lines)
     part = list(range(len(names)))
     for a in range(len(names)):
         for b in range(a):
             x, y = names[a], names[b]
-            if part[a] != part[b] and (hashes[a] ^ hashes[b]).bit_count() <= 3 and edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+            most = int(0.2 * max(len(x), len(y)) + 1e-9)
+            if part[a] != part[b] and abs(len(x) - len(y)) <= most and sum(abs(x.count(c) - y.count(c)) for c in set(x + y)) <= 2 * most and edits(x, y) <= most:
                 part = [part[b] if p == part[a] else p for p in part]
     groups = defaultdict(list)
     for a, name in enumerate(names):
         groups[part[a]] += lines[name]
     expected = sorted((*place, *min(groups[part[a]]), len(lines[name]), len(groups[part[a]]), place == min(groups[part[a]])) for a, name in enumerate(names) for place in lines[name])
     docs = spark.createDataFrame(rows, "doc_id long, text string, first_id string")
-    got = sorted((r.doc_id, r.line_no, r.first_id, r.first_line, r.copies, r.group_lines, r.kept) for r in fuzzy_lines(docs).collect())
+    got = sorted((r.doc_id, r.line_no, r.first_id, r.first_line, r.copies, r.group_lines, r.kept) for r in fuzzy_lines(docs, cfg=LineConfig(split=split)).collect())
     assert got == expected and max(map(len, groups.values())) > 20
 
 
-def test_long_buckets():
-    """Buckets of every length, held whole and in parts, miss no near member."""
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
-    sim = np.concatenate([np.where(rng.random((3000, 64)) < 0.06, 1, 0).dot(1 << np.arange(64, dtype=np.uint64)).astype(np.uint64) ^ b for b in base])
-    chars = rng.integers(90, 110, len(sim)).astype(np.int32)
-    key = np.repeat(np.arange(5), 3000)
-    near = np.concatenate([((np.bitwise_count(s[:, None] ^ s[None, :]) <= 3) & (np.minimum(c[:, None], c) >= 0.8 * np.maximum(c[:, None], c))).sum(1) > 1 for s, c in zip(sim.reshape(5, -1), chars.reshape(5, -1), strict=True)])
-    found = simhash.with_near(sim, chars, key, 3, 0.8)
-    assert near.any() and not near.all() and (found >= near).all()
+def test_fuzzy_lines_run_in_the_jvm(spark, corpus):
+    """The operator's plans hold no Python."""
+    plan = fuzzy_lines(corpus)._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    bands = LineConfig().members()
+    assert all(len(set(b)) == 4 for b in bands) and len(set(map(tuple, map(sorted, bands)))) == 12
 
 
 def test_bpe_equals_the_library(spark, corpus):
