@@ -310,6 +310,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     suffixes = materialize(source.mapInArrow(_suffixes(prefix), "key long, id long, fork int, pos int"), "suffixes")
     found = materialize(suffixes.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(_compare(False), _FOUND), "neighbours")
     release(suffixes)
+    neighbours = found
     edges = found.where("edge").drop("edge").coalesce(1).sortWithinPartitions(*_ORDER).mapInArrow(_compare(True), _FOUND)
     found = found.where("not edge").unionByName(edges).drop("edge")
 
@@ -319,6 +320,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     members = found.select(*_ORDER).join(asked, "key").groupBy("id", "fork").agg(F.collect_list(F.struct("pos", "key", "offsets")).alias("members"))
     known = tracks.where("size(tracks) > 0").select("id", "fork", "tracks").join(members, ["id", "fork"], "full")
     runs = materialize(source.join(known, ["id", "fork"]).select("id", "fork", "text", "tracks", "members").mapInArrow(_runs(prefix, min_words), _RUNS), "runs")
+    for df in (neighbours, tracks, asked):
+        release(df)
 
     place = F.struct("id", "fork", "x")
     open_ = runs.where("high is not null").select("high", "low", "id", "fork", "x")
