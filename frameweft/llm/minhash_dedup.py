@@ -20,17 +20,19 @@ from .textops import LOWER, U64, bytes_of, hash_runs, hash_words, mix, ranges, s
 class NearConfig:
     """similar: links have at least this share of the union in common, in percent.
 
-    With bands of rows minima each, a pair at 85 % is missed with probability
-    (1 - .85**rows)**bands: 4e-7 as given. bins: minima of the second signature,
+    With bands of rows minima each, a pair at 80 % is missed with probability
+    (1 - .8**rows)**bands: 5e-8 as given. bins: minima of the second signature,
     one for each part of the hashes' range; what falls short of similar there by
     more than sigmas standard deviations isn't compared any further. block: the
-    rows of a bucket that are compared with one another at a time.
+    rows of a bucket that are compared with one another at a time. Of larger buckets
+    that hold several components, pairs need a second band in common: a pair at 80 % has
+    none but one with probability 1e-6 as given.
     """
 
-    shingle: int = 3
-    similar: int = 85
-    bands: int = 25
-    rows: int = 5
+    shingle: int = 5
+    similar: int = 80
+    bands: int = 32
+    rows: int = 4
     bins: int = 1024
     sigmas: float = 6.0
     block: int = 512
@@ -126,7 +128,7 @@ def _agreeing(cfg: NearConfig):
     """Of rows sorted by (key, lo, hi): pairs of different components that may be similar enough.
 
     A group is one bucket or two of its blocks, of about 2 * cfg.block rows at
-    most. A pair counts in the first of the buckets that hold both. It is ruled
+    most, or one of two bands. In buckets a pair counts in the first that holds both. It is ruled
     out by the sizes of the sets; by their sketches, where agreement over the
     bins that either fills is an unbiased estimate from a sample of the union
     without replacement; or by the distances from a pivot that both were
@@ -142,6 +144,7 @@ def _agreeing(cfg: NearConfig):
         sketch = np.frombuffer(b"".join(cols["sketch"]), np.uint8).reshape(len(rows), -1)
         bands = np.array(cols["bands"], np.int64)
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        single = (bands[0] == key).any()
         for i in left.tolist():
             other = right[(parts[right] != parts[i]) & ((ids[right] > ids[i]) | (lo != hi))]
             other = other[100 * np.minimum(n[other], n[i]) >= cfg.similar * np.maximum(n[other], n[i])]
@@ -154,8 +157,8 @@ def _agreeing(cfg: NearConfig):
             union = np.maximum((n[other] + n[i]) / (1 + limit), filled)
             slack = cfg.sigmas * np.sqrt(limit * (1 - limit) / filled * np.maximum(1 - filled / union, 0)) + 2 / filled
             other = other[alike >= (limit - slack) * filled]
-            same = bands[other] == bands[i]
-            other = other[bands[i][np.argmax(same, axis=1)] == key] if len(other) else other
+            if single and len(other):
+                other = other[bands[i][np.argmax(bands[other] == bands[i], axis=1)] == key]
             for j in other.tolist():
                 yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
 
@@ -220,7 +223,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     whose buckets are largest, which the original of many copies tends to be.
     First each class is compared with the pivot that it shares most bands with;
     then, in buckets that still hold several components, classes of different
-    components, in blocks of rows so that no task holds a whole bucket. There a
+    components. A bucket of more than cfg.block rows is parted by the other bands of its rows, so that
+    only those that share two meet; what is still larger goes in blocks of rows, so that no task holds
+    a whole bucket. There a
     signature rules out what can't be similar, see _agreeing(). What it leaves is
     compared on whole sets. Components join by large-star and small-star steps
     after either round.
@@ -260,11 +265,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cfg
     from_pivot = from_pivot.groupBy("id").agg(F.min_by(F.struct("pivot", "apart"), F.struct("apart", "pivot")).alias("p")).select("id", "p.pivot", "p.apart")
     sketched = texts.join(unsettled.select("id").distinct(), "id").select("id", "text").mapInArrow(_sketches(cfg), "id long, n long, sketch binary")
     sketched = materialize(sketched.join(classes.select("id", "bands"), "id").join(from_pivot, "id", "left"), "sketches")
+    large = unsettled.where(F.col("size") > cfg.block)
+    pairs_of = large.select("key", "id", "part").join(members.select(F.col("key").alias("second"), "id"), "id").where("key <> second")
+    twice = materialize(pairs_of.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "part").distinct(), "two-bands")
+    shared_twice = twice.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key", "size")
+    rows = unsettled.where(F.col("size") <= cfg.block).select("key", "id", "part", "size").unionByName(twice.join(shared_twice, "key"))
     blocks = F.ceil(F.col("size") / cfg.block).cast("int")
-    dealt = unsettled.select("key", "id", "part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = rows.select("key", "id", "part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "part", "own").join(sketched, "id").select(*_DEALT)
     more = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_agreeing(cfg), "a long, b long")
-    second = _compared(more, texts, cfg, "second-pairs")
+    second = _compared(more.distinct(), texts, cfg, "second-pairs")
     parts = materialize(connected_components(links.unionByName(linked(second))).withColumnRenamed("id", "doc"), "components")
 
     named = materialize(classes.select("high", "low", "doc").join(parts, "doc", "left").select("high", "low", F.coalesce("component", "doc").alias("component_id")), "named")

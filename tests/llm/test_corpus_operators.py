@@ -17,7 +17,7 @@ from frameweft.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from frameweft.llm.fuzzy_lines import LineConfig, fuzzy_lines
 from frameweft.llm.hnsw import nearest
 from frameweft.llm.line_hash import remove_spans, repeated_units
-from frameweft.llm.minhash_dedup import drop_near_duplicates, near_duplicates
+from frameweft.llm.minhash_dedup import NearConfig, drop_near_duplicates, near_duplicates
 from frameweft.llm.packing import PackConfig, packed
 from frameweft.llm.suffix_dedup import repeated_passages
 from frameweft.llm.tokenizer_files import path_of
@@ -98,13 +98,12 @@ def test_lines(spark, corpus):
         assert "".join(texts[r.doc_id][k.start : k.end] for k in row.kept_spans) == row.text
 
 
-def shingles(text):
+def shingles(text, k=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def test_near(spark, corpus):
-    sets = {r.doc_id: shingles(r.text) for r in corpus.collect() if r.doc_id is not None}
+def components(sets, similar):
     part = {i: i for i in sets}
 
     def find(a):
@@ -115,17 +114,42 @@ def test_near(spark, corpus):
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if a < b and both and 100 * both >= similar * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 part[y] = x
-    got = by_id(near_duplicates(corpus))
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("cfg", [NearConfig(), NearConfig(shingle=3, similar=85, bands=25, rows=5)])
+def test_near(spark, corpus, cfg):
+    sets = {r.doc_id: shingles(r.text, cfg.shingle) for r in corpus.collect() if r.doc_id is not None}
+    part = components(sets, cfg.similar)
+    got = by_id(near_duplicates(corpus, cfg=cfg))
     for i, s in sets.items():
-        assert all((r.n_shingles, r.component_id, r.kept) == (len(s), find(i), find(i) == i) for r in got[i])
+        assert all((r.n_shingles, r.component_id, r.kept) == (len(s), part[i], part[i] == i) for r in got[i])
     assert got[None][0].component_id is None and got[None][0].kept
-    assert len({find(i) for i in sets}) < len(sets) - 3
+    assert len(set(part.values())) < len(sets) - 3
     assert drop_near_duplicates(corpus).columns == corpus.columns
 
 
+def test_near_in_large_buckets(spark):
+    """Chains of edits from one text, so that buckets hold many texts of several components; small blocks part them."""
+    rng = random.Random(31)
+    texts, base = [], prose(rng, 120).split(" ")
+    for _ in range(90):
+        own = texts[rng.randrange(len(texts))].split(" ") if texts and rng.random() < 0.7 else base[:]
+        for i in rng.sample(range(len(own)), rng.choice((1, 2, 5, 9))):
+            own[i] = prose(rng, 1)
+        texts.append(" ".join(own))
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts)}
+    part = components(sets, 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"id": F.lit(1), "part": F.lit("x"), "_gone_id": F.lit(2)})
+    cfg = NearConfig(shingle=3, block=8)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, cfg=cfg).collect()} == part and 5 < len(set(part.values())) < 80
+    left = drop_near_duplicates(docs, cfg=cfg)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(part.values()))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7), (3, 2)]
