@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 from .textops import U64, hash_words, ranges, slices, split_words
 
-#: The most that a worker's cache holds: words, and token ids of all of these.
-CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
+#: The most that a worker's cache holds: words, and token ids and bytes of all of these.
+CACHE_WORDS, CACHE_IDS = 800_000, 16_000_000
 #: What the fast split of many words at once doesn't cover: characters from
 #: U+0180 on, which normalisation may join or fold, and special tokens.
 _ODD = re.compile("[^\x00-\u017f]|<\\|")
@@ -79,6 +79,7 @@ class PairIndexBPE:
     def _clear(self) -> None:
         self._hash = np.zeros(0, U64)
         self._at, self._n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._first, self._size, self._bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self._ids = np.zeros(0, np.int32)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,8 +193,8 @@ class PairIndexBPE:
                 flat = np.insert(flat, where, what)
         return pieces, flat, count
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        """Adds words to the cache; hashes are sorted."""
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, end to end, and the offsets of each word's."""
         pieces, flat, count = self._split_words(words)
         ids, at = self.merge(pieces) if pieces else (np.zeros(0, np.int32), np.zeros(1, np.int64))
         specials = sorted(set(self.special.values()))
@@ -201,44 +202,64 @@ class PairIndexBPE:
         lo = np.concatenate([at[:-1], at[-1] + np.arange(len(specials))])
         hi = np.concatenate([at[1:], at[-1] + 1 + np.arange(len(specials))])
         size = (hi - lo)[flat]
-        own_ids = ids[ranges(lo[flat], size)]
         total = np.concatenate([[0], np.cumsum(size)])
-        bounds = total[np.concatenate([[0], np.cumsum(count)])]
-        base = len(self._ids)
-        merged = np.concatenate([self._hash, hashes])
-        order = np.argsort(merged, kind="stable")
-        self._hash = merged[order]
-        self._at = np.concatenate([self._at, base + bounds[:-1]])[order]
-        self._n = np.concatenate([self._n, np.diff(bounds)])[order]
-        self._ids = np.concatenate([self._ids, own_ids])
+        return ids[ranges(lo[flat], size)], total[np.concatenate([[0], np.cumsum(count)])]
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Adds words to the cache; hashes are sorted."""
+        ids, bounds = self._encoded([w.decode("utf-8", "replace") for w in words])
+        place, size = np.searchsorted(self._hash, hashes), np.fromiter(map(len, words), np.int64, len(words))
+        first = len(self._bytes) + np.cumsum(size) - size
+        for name, new in (("_hash", hashes), ("_at", len(self._ids) + bounds[:-1]), ("_n", np.diff(bounds)), ("_first", first), ("_size", size)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+        self._ids = np.concatenate([self._ids, ids])
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(words), np.uint8)])
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and the offsets of each text's.
 
-        Words are told apart by 64-bit hashes of their bytes.
+        Words are looked up by 64-bit hashes, and their bytes compared with those of the
+        word that the hash stands for, here and in the cache. Where any differ, all words
+        of these texts go by their bytes alone.
         """
         starts, ends, of_text = split_words(data, at)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         hashes, first, inverse = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        raw, size = data.tobytes(), ends - starts
+        same = _same(data, starts, size, data, starts[first][inverse], size[first][inverse])
         found = np.searchsorted(self._hash, hashes)
         known = np.zeros(len(hashes), bool) if not len(self._hash) else self._hash[np.minimum(found, len(self._hash) - 1)] == hashes
-        if not known.all():
-            if len(self._hash) + np.count_nonzero(~known) > CACHE_WORDS or len(self._ids) > CACHE_IDS:
-                self._clear()
-                known[:] = False
-            raw, fresh = data.tobytes(), first[~known]
-            self._learn([raw[lo:hi].decode("utf-8", "replace") for lo, hi in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)], hashes[~known])
-            found = np.searchsorted(self._hash, hashes)
-        lo, n = self._at[found][inverse], self._n[found][inverse]
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        return self._ids[ranges(lo, n)], bounds[of_text]
+        if same and known.any():
+            old, new = found[known], first[known]
+            same = _same(data, starts[new], size[new], self._bytes, self._first[old], self._size[old])
+        if not same:
+            words = [raw[lo:hi] for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            ids, bounds = self._encoded([w.decode("utf-8", "replace") for w in number])
+            inverse = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            lo, n = bounds[:-1][inverse], np.diff(bounds)[inverse]
+        else:
+            if not known.all():
+                if len(self._hash) + np.count_nonzero(~known) > CACHE_WORDS or len(self._ids) + len(self._bytes) > CACHE_IDS:
+                    self._clear()
+                    known[:] = False
+                fresh = first[~known]
+                self._learn([raw[lo:hi] for lo, hi in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)], hashes[~known])
+                found = np.searchsorted(self._hash, hashes)
+            ids, lo, n = self._ids, self._at[found][inverse], self._n[found][inverse]
+        return ids[ranges(lo, n)], np.concatenate([[0], np.cumsum(n)])[of_text]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens with a space between each two, in UTF-8, special ones included."""
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+def _same(a: np.ndarray, at: np.ndarray, n: np.ndarray, b: np.ndarray, bt: np.ndarray, m: np.ndarray) -> bool:
+    """Whether all spans of bytes, of a at `at` and of b at `bt`, are alike, of n and m bytes."""
+    return bool((n == m).all()) and bool((a[ranges(at, n)] == b[ranges(bt, n)]).all())
+
+
 @lru_cache(maxsize=1)
 def load(path: str) -> PairIndexBPE:
     """One for each Python worker: its cache serves all of the worker's tasks."""

@@ -66,6 +66,21 @@ def test_null_and_repeated_ids_are_packed_and_encoded(spark):
     assert {i: sum(n + 1 for j, n in expected if j == i) for i in (-1, 5, 6)} == total
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash of three values words collide all the time, in a text and with the cache; bytes decide."""
+    from tokenizers import Tokenizer
+
+    from frameweft.llm import bpe
+
+    library, rng = Tokenizer.from_file(TOKENIZER), random.Random(4)
+    for n in (1, 3, 1 << 60):
+        own = bpe.PairIndexBPE(TOKENIZER)
+        monkeypatch.setattr(bpe, "hash_words", lambda *a, n=n: hash_words(*a) % np.uint64(n))
+        for texts in (["one"], ["two"], [words(rng, 30), "", words(rng, 40) + " naïve <|endoftext|>"], ["one two"]):
+            ids, at = own.encode(*toxicity.bytes_of(pa.array(texts)))
+            assert [ids[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # --- toxicity ---
 
 
