@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from frameweft.llm import secrets, toxicity
+from frameweft.llm.fuzzy_lines import LineConfig, fuzzy_lines
 from frameweft.llm.minhash_dedup import near_duplicates
 from frameweft.llm.queries import op1_fuzzy_lines
 
@@ -78,3 +79,31 @@ def test_near_duplicates_of_texts_under_one_id(spark):
     rows = [(1, one + " end"), (2, two + " end"), (7, one), (7, two), (8, words(rng, 50))]
     found = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {(1, 1), (2, 1), (7, 1), (8, 8)}
+
+
+def test_fuzzy_lines_compares_all_of_a_large_bucket(spark):
+    """No line is left out for the size of its bucket, nor for few words in common: 300 lines of the same long words and
+    unlike short ones share all buckets. Two pairs of these are alike, one by short words alone."""
+    rng = random.Random(17)
+    common = "measurement instrument calibration"
+    lines = [common + " " + " ".join("".join(rng.choice(LETTERS) for _ in range(4)) for _ in range(30)) for _ in range(300)]
+    near = lines[7].split(" ")
+    for i in range(4, 27):  # a letter of most words: under a third of the words are in common, but 0.8 of the letters
+        near[i] = "9" + near[i][1:]
+    lines += [" ".join(near), lines[11] + " also", "x " + lines[13][:-20]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for split in (256, 40):
+        found = {r.doc_id: r.first_id for r in fuzzy_lines(docs, cfg=LineConfig(split=split)).collect()}
+        assert found == {i: i for i in range(300)} | {300: 7, 301: 11, 302: 13}
+
+
+def test_fuzzy_lines_with_edits_between_the_levels(spark):
+    """Lines of unequal numbers of words that are 15 to 60 edits apart, all within a fifth of the length."""
+    rng = random.Random(18)
+    base = words(rng, 90)
+    far = base.split(" ")
+    for i in range(3, 83, 10):
+        far[i] = words(rng, 1)
+    lines = [base, *(" ".join(far[:n] + base.split(" ")[n:]) + " " + words(rng, 1 + n // 20) for n in (20, 40, 60, 80))]
+    found = fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.first_id for r in found} == {0}
