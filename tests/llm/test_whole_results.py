@@ -107,3 +107,27 @@ def test_fuzzy_lines_with_edits_between_the_levels(spark):
     lines = [base, *(" ".join(far[:n] + base.split(" ")[n:]) + " " + words(rng, 1 + n // 20) for n in (20, 40, 60, 80))]
     found = fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
     assert {r.first_id for r in found} == {0}
+
+
+def test_fuzzy_lines_drops_unlike_pairs_by_counts(spark, monkeypatch):
+    """Lines of the same long words that are made of other letters share all buckets, but their pairs aren't made: the
+    counts of characters tell them apart. Those that are alike are found, with words moved, put in, taken out and changed."""
+    import sys
+
+    module, compared = sys.modules["frameweft.llm.fuzzy_lines"], []
+
+    def counted(pairs, texts, cfg, label):
+        compared.append((label, pairs.count()))
+        return similar(pairs, texts, cfg, label)
+
+    similar = module._similar
+    monkeypatch.setattr(module, "_similar", counted)
+    rng = random.Random(19)
+    common = "measurement instrument calibration"
+    lines = [f"{common} " + " ".join("".join(rng.choice(LETTERS[i % 13] + LETTERS[13 + i // 13]) for _ in range(4)) for _ in range(30)) for i in range(78)]
+    near = lines[5].split(" ")
+    near[4], near[9], near[20] = "zzzzz", "", near[20] + " zz"
+    lines += [" ".join(near), lines[70] + " measurement"]
+    found = {r.doc_id: r.first_id for r in fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert found == {i: i for i in range(78)} | {78: 5, 79: 70}
+    assert sum(n for label, n in compared if label != "first-links") < 300
