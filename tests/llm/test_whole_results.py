@@ -1,6 +1,7 @@
 """What the corpus operators once left out."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,23 @@ def test_fuzzy_lines_drops_unlike_pairs_by_counts(spark, monkeypatch):
     found = {r.doc_id: r.first_id for r in fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert found == {i: i for i in range(78)} | {78: 5, 79: 70}
     assert sum(n for label, n in compared if label != "first-links") < 300
+
+
+def test_fuzzy_lines_of_many_words_are_compared_by_parts(spark):
+    """Lines of 30,000 characters that differ every 30 words, of unlike words and of a passage over and over, are linked
+    without a comparison of all characters with all, which takes seconds for a pair."""
+    rng = random.Random(20)
+    lines, first = [], []
+    for text in (words(rng, 4000), " ".join([words(rng, 60)] * 67)):
+        for i in range(9):
+            copy = text.split(" ")
+            for at in range(3 + i, len(copy), 30):
+                copy[at] = rng.choice(("", rng.choice(copy), f"{copy[at]} {rng.choice(copy)}"))
+            lines.append(" ".join(copy))
+            first.append(len(lines) - 1 - i)
+    lines.append(" ".join(sorted(lines[0].split(" "))))  # the same words, but another line
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.first_id for r in fuzzy_lines(docs).collect()}
+    assert found == dict(enumerate([*first, 18]))
+    assert time.time() - began < 60
